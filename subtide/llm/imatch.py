@@ -7,8 +7,8 @@ terms in that subset. Sparse subsets survive edits of long documents, dense ones
 documents apart. Likeness is the share of equal hashes among the subsets that either document uses.
 
 The band bounds the lexicon: with df >= share * n there are at most (mean distinct terms) / share
-terms, whatever n is. It is kept as a Bloom table of fixed size (2**20 bits, three probes; a foreign
-term passes with a chance of 2e-4 for a lexicon of 20,000 terms), a constant of the plan,
+terms, whatever n is. It is kept as a Bloom table of fixed size (2**21 bits, three probes; a foreign
+term passes with a chance below 3e-4 for a lexicon of 45,000 terms), a constant of the plan,
 so that no term is shuffled after the counts.
 
 Defined results: a null text is empty; a document without lexicon terms is hashed by all its terms;
@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 BAND = (math.log(1 / 0.1), math.log(1 / 0.001))  # least and greatest inverse document frequency
 LEAST_DF = 2
-BITS = 20
+BITS = 21
 #: A subset keeps a term whose hash has this many zero bits from this bit on.
 SUBSETS = [(0, 1), (1, 1), (2, 1), (3, 3), (6, 3), (9, 3), (12, 5), (17, 5), (22, 5), (27, 7), (34, 7), (41, 7)]
 EMPTY = "-" * 16
@@ -39,7 +39,7 @@ def terms(text: Column) -> Column:
 
 def _probes(term: Column) -> list[Column]:
     mask = F.lit((1 << BITS) - 1)
-    return [F.shiftrightunsigned(term, s).bitwiseAND(mask) for s in (0, 20, 40)]
+    return [F.shiftrightunsigned(term, s).bitwiseAND(mask) for s in (0, 21, 42)]
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -57,7 +57,7 @@ def bloom(words: DataFrame) -> Column:
     marked = bits.select(F.shiftrightunsigned("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
     table = marked.unionByName(spark.range(size).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("mask"))).groupBy("at").agg(F.bit_or("mask").alias("mask"))
     bits = table.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "mask"))), lambda x: x["mask"].cast("string")), " ")).first()[0]
-    return F.split(F.lit(bits), " ").cast("array<bigint>")  # a constant of 128 KB, folded once
+    return F.split(F.lit(bits), " ").cast("array<bigint>")  # a constant of 256 KB, folded once
 
 
 def in_lexicon(found: Column, table: Column) -> Column:
@@ -74,12 +74,15 @@ def with_fingerprint(df: DataFrame, text: str, name: str, table: Column) -> Data
     df = df.withColumn(found, terms(F.col(text))).withColumn(kept, in_lexicon(F.col(found), table))
     df = df.withColumn(kept, F.sort_array(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(found))))
     for at, zeros in SUBSETS:
-        part = F.filter(kept, lambda t, at=at, zeros=zeros: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << zeros) - 1)) == 0)
-        df = df.withColumn(f"{name}_{at}", part)
+        df = df.withColumn(f"{name}_{at}", _subset(F.col(kept), at, zeros))
         parts.append(F.when(F.size(f"{name}_{at}") == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(f"{name}_{at}"))), 16, "0")))
     return df.withColumn(name, F.concat_ws(".", *parts)).drop(found, kept, *[f"{name}_{at}" for at, _ in SUBSETS])
 
 
+def _subset(found: Column, at: int, zeros: int) -> Column:
+    return F.filter(found, lambda t: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << zeros) - 1)) == 0)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among subsets that are not empty in both; 1 where all are."""
     pairs = F.filter(F.arrays_zip(F.split(a, "\\.").alias("a"), F.split(b, "\\.").alias("b")), lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))

@@ -1,14 +1,19 @@
 """The training-data queries and their SQL."""
 
-from subtide.llm import imatch, mixing, url_filters
+from subtide.llm import imatch, matroska, mixing, ngram_join, packing, quality, url_filters
 
 QUERIES = {
+    "op1_matroska": matroska.op1_matroska,
     "op3_mixing": mixing.op3_mixing,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_imatch": imatch.op6_imatch,
+    "op7_quality": quality.op7_quality,
+    "op8_packing": packing.op8_packing,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
 }
