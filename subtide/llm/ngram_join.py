@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     bundles = components(ties)
     sized = bundles.join(reps.withColumnRenamed("set_id", "node"), "node")
     counts = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    placed = checkpointed(sized.join(counts, "root").select("node", "root", "doc_id", "sets", "shingles", ((F.col("sets") > BUNDLE_SETS) & (F.col("shingles") * 8 > BYTES_PER_TASK / 16)).alias("large")))
+    placed = checkpointed(sized.join(counts, "root").select("node", "root", "doc_id", "sets", "shingles", (F.col("sets") > BUNDLE_SETS).alias("large")))
     needed, large = placed.agg(F.coalesce(F.sum(F.col("shingles") / F.col("sets")), F.lit(0.0)), F.coalesce(F.max("large"), F.lit(False))).first()
 
     tasks = max(fan_out(spark), int(needed * 8) // BYTES_PER_TASK + 1)

@@ -1,6 +1,6 @@
 """The training-data queries and their SQL."""
 
-from subtide.llm import imatch, matroska, mixing, ngram_join, packing, quality, url_filters
+from subtide.llm import imatch, matroska, mixing, ngram_join, packing, quality, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
