@@ -1,10 +1,12 @@
 """The training-data queries and their SQL."""
 
-from subtide.llm import imatch, matroska, mixing, ngram_join, packing, quality, suffix_dedup, url_filters
+from subtide.llm import chat, imatch, matroska, mixing, ngram_join, packing, quality, secrets, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_chat": chat.op2_chat,
     "op3_mixing": mixing.op3_mixing,
+    "op4_secrets": secrets.op4_secrets,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_imatch": imatch.op6_imatch,
     "op7_quality": quality.op7_quality,
