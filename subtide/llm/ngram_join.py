@@ -194,7 +194,7 @@ def _ties(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over the edges(a, b)."""
-    edges = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

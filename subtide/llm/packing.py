@@ -22,18 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import checkpointed, flat, pieces, prefix_sums, span_hashes, word_spans
+from subtide.llm.common import checkpointed, flat, lowered, pieces, prefix_sums, span_hashes, word_spans
 
 CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS = 4096, 1, 50_000, 1_000_000
 
 
 class WordIds:
-    """Token ids of white-space separated words, each encoded once; right for tokenizers that never join words."""
+    """Token ids of white-space separated words, each encoded once; right for tokenizers that ignore case and never join words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -41,10 +44,27 @@ class WordIds:
         self.starts = self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encoded(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their counts. Words of letters only are encoded many at a time: each ends with its first ending id."""
+        found: list[list[int]] = [[]] * len(words)
+        whole = np.flatnonzero(letters).tolist()
+        lines = [whole[i : i + 256] for i in range(0, len(whole), 256)]
+        rest = np.flatnonzero(~letters).tolist()
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False), strict=True):
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(line):
+                rest += line
+                continue
+            for i, a, b in zip(line, [0, *stops[:-1]], stops, strict=True):
+                found[i] = ids[a:b]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+    def _learn(self, hashes: np.ndarray, words: list[str], letters: np.ndarray) -> None:
+        new, counts = self._encoded(words, letters)
         starts = np.cumsum(counts) - counts + len(self.ids)
         hashes, self.starts, self.counts, self.ids = np.concatenate([self.hashes, hashes]), np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts]), np.concatenate([self.ids, new])
         order = np.argsort(hashes)
@@ -52,7 +72,11 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by the end id, and the offsets of the documents."""
-        starts, ends, first = word_spans(data, offsets)
+        raw = data.tobytes()
+        if b"<|" not in raw:  # else capitals could turn into a special token
+            data = lowered(data)
+            raw = data.tobytes()
+        starts, ends, first = _parts(data, *word_spans(data, offsets))
         words, at, inverse = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > CACHED_WORDS:
             self._clear()
@@ -61,8 +85,10 @@ class WordIds:
         inside = place < len(self.hashes)
         known[inside] = self.hashes[place[inside]] == words[inside]
         if not known.all():
-            raw, new = data.tobytes(), at[~known]
-            self._learn(words[~known], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            new = at[~known]
+            other = np.append(0, np.cumsum(~_letters(data)))
+            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self._learn(words[~known], texts, other[starts[new]] == other[ends[new]])
             place = np.searchsorted(self.hashes, words)
         place = place[inverse]
         counts, origin = self.counts[place], self.starts[place]
@@ -77,6 +103,29 @@ class WordIds:
         return ids, bounds
 
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of a to z and of the two-byte letters U+00C0 to U+00FF."""
+    lead = data == 0xC3
+    second = np.append(False, lead[:-1]) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    return (data >= 97) & (data <= 122) | second | lead & np.append(second[1:], False)
+
+
+def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word spans with a last full stop or comma after a plain letter or digit as a span of its own: always its own token."""
+    if not len(starts):
+        return starts, ends, first
+    last = data[ends - 1]
+    cut = (ends - starts > 1) & ((last == 44) | (last == 46)) & _PLAIN[data[ends - 2]]
+    which = np.repeat(np.arange(len(starts)), 1 + cut)
+    second = np.append(False, which[1:] == which[:-1])
+    before = np.append(second[1:], False)
+    return np.where(second, ends[which] - 1, starts[which]), np.where(before, ends[which] - 1, ends[which]), np.append(0, np.cumsum(1 + cut))[first]
+
+
 _encoders: dict[str, WordIds] = {}
 
 

@@ -49,24 +49,28 @@ class RunLengthIndex:
         text[place] = data.astype(np.int64) + 1
         stop = np.cumsum(lengths + 1) - 1
         left = stop[item] - np.arange(n)  # bytes before the end of the item
-        rank, seven = np.zeros(n, np.int64), 7
-        for j in range(seven):
-            rank <<= 9
-            rank[: n - j] += np.where(left[: n - j] >= j, text[j:], 0)
+        present = np.unique(text)
+        code = np.searchsorted(present, text)
+        bits = int(len(present)).bit_length()
+        step = min(63 // bits, LENGTH // 2)
+        rank = np.zeros(n, np.int64)
+        for j in range(step):
+            rank <<= bits
+            rank[: n - j] += np.where(left[: n - j] >= j, code[j:], 0)
         rank = np.unique(rank, return_inverse=True)[1]
-        step, early = seven, None
+        early, width = (rank, step) if 2 * step >= LENGTH else (None, 0)
         while True:
             after = np.where(left < step, item, np.append(rank[step:], np.zeros(min(step, n), np.int64))[:n])
             found, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
             step *= 2
-            if step == 28:
-                early = rank
-            if len(found) == n and step >= 28:
+            if early is None and 2 * step >= LENGTH:
+                early, width = rank, step
+            if len(found) == n and early is not None:
                 break
         self.text, self.n = text, n
         sa = np.empty(n, np.int64)
         sa[rank] = np.arange(n)
-        rest = LENGTH - 28
+        rest = LENGTH - width
         whole = left[sa] >= LENGTH
         second = early[np.minimum(sa + rest, n - 1)]
         same = whole[1:] & whole[:-1] & (early[sa[1:]] == early[sa[:-1]]) & (second[1:] == second[:-1])
