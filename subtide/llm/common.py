@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again. For loops: a checkpoint hands on its plan's estimated size, which joins square."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; only where none is set (tests), a temporary one."""
     context = spark.sparkContext

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import checkpointed, fan_out, flat, lowered, mix, pieces, span_hashes, prefix_sums, word_spans
+from subtide.llm.common import checkpointed, fan_out, flat, lowered, mix, pieces, prefix_sums, span_hashes, tabled, word_spans
 
 ENTRIES_PER_BUCKET, BUNDLE_SETS, TILE_SETS, BYTES_PER_TASK = 1_000_000, 256, 1000, 16 << 20
 GROUPS, LEAF = 64, 16
@@ -194,13 +194,13 @@ def _ties(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over the edges(a, b)."""
-    edges = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    edges = tabled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = tabled(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("was"))
         jump = step.join(step.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("root"), "was")
-        jump = checkpointed(jump)
+        jump = tabled(jump)
         changed = jump.where("root <> was").limit(1).count()
         labels = jump.select("node", "root")
         if not changed:
