@@ -7,8 +7,9 @@ two documents, by the summed coordinate minima; surviving pairs are verified on
 An R-tree over millions of such points does not prune (they all lie about n / groups), so bundles come
 first. Two sets that link differ in at most d elements, d following from the smaller size; of d + 2
 ranges of the hash space at least two hold the same elements in both. Each set sends a hash of every
-range that is not empty, and of every pair of empty ranges; sets with a common hash are tied to the
-smallest of them, and the connected ties are a bundle. No link crosses bundles, so the result is exact.
+range that is not empty, and of every pair of empty ranges. Sets with a common hash are a list; the
+R-tree prunes its pairs by the bound, and what stays connected is tied together. Connected ties are a
+bundle. A link shares a list and is never pruned, so none crosses bundles and the result is exact.
 
 Equal sets are one node, whatever their number. Bundles over ``BUNDLE_SETS`` sets are not gathered:
 their ties are verified as joins, and only if that leaves more than one component, blocks of the
@@ -76,6 +77,13 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(sets ^ _C[60]), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def group_counts(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Shingles in each group, a row per set."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    return np.bincount(owner * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).astype(np.uint32).reshape(n, GROUPS)
+
+
 class Bands:
     """Size bands: linking sets lie in one band or two neighbouring ones; ranges for the lower band's differences."""
 
@@ -137,7 +145,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.n
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (null without shingles)."""
+    """doc_id, n_shingles, set_id (null without shingles) and counts, the point of the R-tree."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -145,14 +153,14 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             for i, j, part, own in pieces(data, offsets):
                 sets, bounds = shingle_sets(part, own, words)
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0)], names=["doc_id", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array([c.tobytes() for c in group_counts(sets, bounds)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_shingles long, set_id long")
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_shingles long, set_id long, counts binary")
 
 
-def _ties(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
-    """a, b: sets with a common signature, each tied to the smallest one that has it."""
+def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
+    """list, node: the different lists of sets with a common signature."""
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -179,17 +187,59 @@ def _ties(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Data
         found = found[np.argsort(found[:, 0], kind="stable")]
         same = found[1:, 0] == found[:-1, 0]
         found = found[np.append(same, False) | np.append(False, same)]
-        if len(found):
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            head = np.append(True, found[1:, 0] != found[:-1, 0])
-            center = found[head, 1][np.cumsum(head) - 1]
-            pairs = np.unique(np.stack([center, found[:, 1]], 1)[center != found[:, 1]], axis=0)
-        else:
-            pairs = np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        fresh = np.append(True, (found[1:] != found[:-1]).any(1)) if len(found) else np.zeros(0, bool)
+        found = found[fresh]
+        bounds = np.append(np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])), len(found)) if len(found) else np.zeros(1, np.int64)
+        size = np.diff(bounds)
+        name = mix(_sums(mix(found[:, 1].view(np.uint64).copy()), bounds) + size.astype(np.uint64))
+        first = np.zeros(len(size), bool)
+        first[np.unique(name, return_index=True)[1]] = True
+        kept = np.repeat(first & (size > 1), size)
+        return pa.table({"list": pa.array(np.repeat(name, size)[kept].view(np.int64)), "node": pa.array(np.ascontiguousarray(found[kept, 1]))})
 
     sent = docs.select("text").mapInArrow(send, "bucket long, entries binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return sent.groupBy("bucket").applyInArrow(meet, "list long, node long").distinct()
+
+
+def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+    """a, b: sets of a list that the bound leaves connected, tied to the smallest one."""
+
+    def prune(table: pa.Table) -> pa.Table:
+        node, sizes, name = (table[c].to_numpy() for c in ("node", "n", "list"))
+        points = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        order = np.lexsort((node, name))
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(name[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+        length = np.diff(cuts)
+        two = cuts[:-1][length == 2]
+        x, y = order[two], order[two + 1]
+        fits = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (sizes[x] + sizes[y])
+        pairs = [np.stack([node[x], node[y]], 1)[fits]]
+        for a, b in zip(cuts[:-1][length > 2], cuts[1:][length > 2], strict=True):
+            own = order[a:b]
+            root = _connected(len(own), RTree(points[own], sizes[own]).pairs(num, den))
+            pairs.append(np.stack([node[own][root], node[own]], 1)[root != np.arange(len(own))])
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    points = lists.join(reps.select(F.col("set_id").alias("node"), "n", "counts"), "node")
+    return points.select(F.pmod("list", F.lit(tasks)).alias("task"), "list", "node", "n", "counts").groupBy("task").applyInArrow(prune, "a long, b long").distinct()
+
+
+def _connected(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
+    root = list(range(n))
+    for a, b in pairs:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    for i in range(n):
+        root[i] = root[root[i]]
+    return np.array(root)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,8 +327,10 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     rows = checkpointed(set_rows(docs, words))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(fan_out(spark), int(total * 2.4 * (den - num) / num) // ENTRIES_PER_BUCKET + 1)
-    ties = checkpointed(_ties(docs, words, num, den, buckets))
-    reps = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    reps = checkpointed(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts")))
+    rows = rows.drop("counts")
+    ties = checkpointed(_ties(_lists(docs, words, num, den, buckets), reps, num, den, buckets))
+    reps = reps.drop("counts")
 
     bundles = components(ties)
     sized = bundles.join(reps.withColumnRenamed("set_id", "node"), "node")
