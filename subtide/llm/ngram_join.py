@@ -77,11 +77,20 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(sets ^ _C[60]), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def group_counts(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Shingles in each group, a row per set."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(owner * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).astype(np.uint32).reshape(n, GROUPS)
+def groups_for(n: int) -> int:
+    """Groups for a set of n shingles: a power of two that grows with n, so that unrelated sets differ in most groups."""
+    return max(GROUPS, 1 << max(0, int(n) // 8).bit_length())
+
+
+def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """Shingles in each group; folds to fewer groups by summing, see ``folded``."""
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points with the fewest groups that any of them has."""
+    least = min(map(len, points))
+    return np.stack([p.reshape(-1, least).sum(0) for p in points])
 
 
 class Bands:
@@ -153,7 +162,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             for i, j, part, own in pieces(data, offsets):
                 sets, bounds = shingle_sets(part, own, words)
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array([c.tobytes() for c in group_counts(sets, bounds)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array([group_counts(sets[a:b], groups_for(b - a)).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_shingles long, set_id long, counts binary")
@@ -207,17 +216,18 @@ def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int, tasks: int) ->
 
     def prune(table: pa.Table) -> pa.Table:
         node, sizes, name = (table[c].to_numpy() for c in ("node", "n", "list"))
-        points = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        points = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"]]
         order = np.lexsort((node, name))
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(name[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
         length = np.diff(cuts)
         two = cuts[:-1][length == 2]
         x, y = order[two], order[two + 1]
-        fits = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (sizes[x] + sizes[y])
+        bound = np.fromiter((np.minimum(*folded([points[i], points[j]])).sum() for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
+        fits = bound * (num + den) >= num * (sizes[x] + sizes[y])
         pairs = [np.stack([node[x], node[y]], 1)[fits]]
         for a, b in zip(cuts[:-1][length > 2], cuts[1:][length > 2], strict=True):
             own = order[a:b]
-            root = _connected(len(own), RTree(points[own], sizes[own]).pairs(num, den))
+            root = _connected(len(own), RTree(folded([points[i] for i in own]), sizes[own]).pairs(num, den))
             pairs.append(np.stack([node[own][root], node[own]], 1)[root != np.arange(len(own))])
         pairs = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
@@ -307,7 +317,8 @@ def links_in_bundle(sets: list[np.ndarray], num: int, den: int, known: np.ndarra
         for i, label in enumerate(known.tolist()):
             root[find(i)] = find(seen.setdefault(label, i))
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+    groups = groups_for(sizes.min())
+    points = np.stack([group_counts(s, groups) for s in sets])
     for a, b in RTree(points, sizes).pairs(num, den):
         x, y = find(a), find(b)
         if x == y:
