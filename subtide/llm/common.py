@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Space and the control characters 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: list[np.ndarray] = []

@@ -28,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import PIECE_BYTES, checkpointed, fan_out, flat, mix, pieces, prefix_sums, span_hashes
+from subtide.llm.common import checkpointed, fan_out, flat, mix, pieces, prefix_sums, span_hashes
 
-LENGTH, SEED, HOT_CHUNKS, LONGEST_RUN = 50, 24, 64, 1024
+LENGTH, SEED, HOT_CHUNKS, LONGEST_RUN, CHUNK_BYTES = 50, 24, 64, 1024, 4 << 20
 
 
 class RunLengthIndex:
@@ -190,7 +190,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = checkpointed(docs.groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.min("doc_id").alias("rep"), F.first(F.octet_length("text")).alias("n_bytes")).where("rep IS NOT NULL").select("rep", "n_bytes"))
     total = firsts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    chunks = max(fan_out(spark), total // PIECE_BYTES + 1)
+    chunks = max(fan_out(spark), total // CHUNK_BYTES + 1)
 
     def chunk(column: str):
         return F.pmod(F.xxhash64(column), F.lit(chunks))
