@@ -90,7 +90,7 @@ def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points with the fewest groups that any of them has."""
     least = min(map(len, points))
-    return np.stack([p.reshape(-1, least).sum(0) for p in points])
+    return np.stack([p.reshape(-1, least).sum(0, dtype=np.int64) for p in points])
 
 
 class Bands:
@@ -216,7 +216,7 @@ def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int, tasks: int) ->
 
     def prune(table: pa.Table) -> pa.Table:
         node, sizes, name = (table[c].to_numpy() for c in ("node", "n", "list"))
-        points = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"]]
+        points = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]]
         order = np.lexsort((node, name))
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(name[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
         length = np.diff(cuts)
