@@ -51,3 +51,8 @@ def word_distance(a: Column, b: Column) -> Column:
 
 def error_rate(distance: Column, reference_size: Column, hypothesis_size: Column) -> Column:
     return F.when(reference_size > 0, distance / reference_size).otherwise(F.when(hypothesis_size > 0, 1.0).otherwise(0.0))
+
+
+def segment_text(text: Column, words: Column) -> Column:
+    """The trimmed text; where it is blank, its clean words."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.array_join(F.transform(words, lambda w: w["text"]), " "))

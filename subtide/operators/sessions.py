@@ -71,3 +71,36 @@ def epochs(messages: DataFrame, order: list[str]) -> DataFrame:
     """messages(client_id, type) with epoch (after gaps and configuration) and generation (after finals, gaps and flushes)."""
     by = W.partitionBy("client_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return messages.withColumns({"epoch": F.count_if(F.col("type").isin("audio_gap", "config")).over(by), "generation": F.count_if(F.col("type").isin("final", "audio_gap", "flush")).over(by)})
+
+
+def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
+    """Null, empty and missing values replaced, column by column."""
+    plain = {c: F.nullif(F.col(c), F.lit("")) if isinstance(v, str) else F.col(c) for c, v in defaults.items()}
+    return rows.withColumns({c: F.coalesce(plain[c], F.lit(v)) for c, v in defaults.items()})
+
+
+def translation_quality(rows: DataFrame) -> DataFrame:
+    """rows(failed, translation, quality) with level and reason."""
+    found = F.coalesce("translation", F.lit("")) != ""
+    level = F.when(F.col("failed"), "error").when(found, F.coalesce("quality", F.lit("good"))).otherwise("watch")
+    return rows.withColumns({"level": level, "reason": F.when(~F.col("failed") & ~found, "translation_unavailable")})
+
+
+def context_prompt(hint: str, sentence: str, keys: list[str], order: list[str], most: int = 420, sentences: int = 8) -> Column:
+    """The whole hint and the last characters of the sentences before; null where both are empty."""
+    before = F.array_join(F.collect_list(sentence).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(-sentences, -1)), " ")
+    return F.nullif(F.trim(F.concat_ws(" ", F.lit(hint), F.nullif(F.right(before, F.lit(most)), F.lit("")))), F.lit(""))
+
+
+def current(entries: DataFrame, version: int, epoch: int) -> DataFrame:
+    """Entries written under this version and not before this epoch."""
+    return entries.where((F.col("version") == version) & (F.col("epoch") >= epoch))
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place in a total order, without a window over all: places within range partitions, moved by the sizes of those before."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    local = dealt.withColumn("local", F.row_number().over(W.partitionBy("part").orderBy(*order)))
+    sizes = local.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return local.join(F.broadcast(before), "part").withColumn(name, (F.col("local") + F.col("before")).cast("long")).drop("part", "local", "before")

@@ -1 +1,3 @@
-"""Spark-native speech-transcript and subtitle analytics."""
+"""Queries over the driver's tables; importing the package registers them all."""
+
+from subtide.plans import records, registry, stateful  # noqa: F401

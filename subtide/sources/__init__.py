@@ -1 +1 @@
-"""Spark-native speech-transcript and subtitle analytics."""
+"""Readers and writers: recordings, JSON columns, glossaries, reports."""

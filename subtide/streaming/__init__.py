@@ -1 +1 @@
-"""Spark-native speech-transcript and subtitle analytics."""
+"""State machines of live sessions, run over tables by a sorted fold and over streams by keyed state."""
