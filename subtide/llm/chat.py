@@ -7,8 +7,9 @@ its max-plus matrix (best score from any state before it to any state at its end
 conversation are chained, and each block is decoded between its two known states. So a conversation
 of any length is spread over many tasks, with the result of one pass.
 
-Defined results: null and empty lines are lines without marker; lines with equal numbers go by text; an
-empty table gives no turns; a conversation's first line always begins a turn; extra columns are ignored.
+Defined results: null and empty lines are lines without marker; lines with equal numbers go by a hash
+of their text; an empty table gives no turns; a conversation's first line always begins a turn; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from subtide.llm.common import checkpointed, fan_out
+from subtide.llm.common import fan_out
 
 ROLES = ["system", "user", "assistant"]
 # Speaker names in transcripts, by role.
@@ -82,8 +83,6 @@ def _blocks(table: pa.Table) -> list[np.ndarray]:
 
 def _chain(rows: list[dict]) -> list[tuple[int, int]]:
     """Entry and exit state of each block of a conversation, by Viterbi over the blocks' matrices."""
-    begin = np.full(STATES, -1e12)
-    begin[0::2] = 0.0
     score, back = None, []
     for k, r in enumerate(rows):
         m = np.asarray(r["matrix"]).reshape(STATES + 1, STATES)
@@ -101,20 +100,39 @@ def _chain(rows: list[dict]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def decode(lines: DataFrame, model: dict[str, np.ndarray], block_bits: int = BLOCK_BITS) -> DataFrame:
-    """lines(conv_id, line_no, text) with role, begins and body."""
-    spark = lines.sparkSession
+_START = np.full(STATES, -1e12)
+_START[0::2] = -np.log(len(ROLES))
+
+
+def _path(model: dict[str, np.ndarray], emit: np.ndarray, entry: int, leave: int) -> np.ndarray:
+    """The best states of a block's lines between the state before it (-1: none) and the one at its end."""
+    score, back = (_START if entry < 0 else model["move"][entry]) + emit[0], []
+    for e in emit[1:]:
+        total = score[:, None] + model["move"]
+        back.append(total.argmax(0))
+        score = total.max(0) + e
+    found, state = np.zeros(len(emit), np.int64), leave
+    for i in range(len(emit) - 1, 0, -1):
+        found[i] = state
+        state = int(back[i - 1][state])
+    found[0] = state
+    return found
+
+
+def _with_states(lines: DataFrame, model: dict[str, np.ndarray], block_bits: int, rows_of, schema: str) -> DataFrame:
+    """``rows_of(table, places, states, alone, last)`` for every block of lines(conv_id, line_no, text).
+
+    Texts are shuffled once, by block; the matrices and their chains hold numbers only.
+    """
     seen = lines.select("conv_id", "line_no", *[c.alias(n) for n, c in observed(F.col("text")).items()])
     seen = seen.select("*", F.xxhash64("conv_id").alias("conv"), F.shiftright("line_no", block_bits).alias("block"), F.xxhash64("body").alias("rank"))
-    tasks = max(fan_out(spark), lines.count() // LINES_PER_TASK + 1)
+    tasks = max(fan_out(lines.sparkSession), lines.count() // LINES_PER_TASK + 1)
     task = F.pmod(F.xxhash64("conv", "block"), F.lit(tasks)).alias("task")
-    start = np.full(STATES, -1e12)
-    start[0::2] = -np.log(len(ROLES))
 
     def matrices(table: pa.Table) -> pa.Table:
         emit, out = _emissions(model, table), []
         for rows in _blocks(table):
-            best = np.vstack([np.where(np.eye(STATES, dtype=bool), 0.0, -1e12)[:, :, None] + model["move"][None], start[None, None].repeat(STATES, 1)]).max(1) + emit[rows[0]]
+            best = np.vstack([np.where(np.eye(STATES, dtype=bool), 0.0, -1e12)[:, :, None] + model["move"][None], _START[None, None].repeat(STATES, 1)]).max(1) + emit[rows[0]]
             for i in rows[1:]:
                 best = (best[:, :, None] + model["move"][None]).max(1) + emit[i]
             out.append({"conv": table["conv"][int(rows[0])].as_py(), "block": table["block"][int(rows[0])].as_py(), "matrix": best.ravel().tolist()})
@@ -127,46 +145,76 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], block_bits: int = BLO
             end = at
             while end < len(rows) and rows[end]["conv"] == rows[at]["conv"]:
                 end += 1
-            out += [{"conv": r["conv"], "block": r["block"], "entry": a, "leave": b} for r, (a, b) in zip(rows[at:end], _chain(rows[at:end]), strict=True)]
+            out += [{"conv": r["conv"], "block": r["block"], "entry": a, "leave": b, "alone": end - at == 1, "last": r is rows[end - 1]} for r, (a, b) in zip(rows[at:end], _chain(rows[at:end]), strict=True)]
             at = end
-        return pa.Table.from_pylist(out, pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32())]))
+        return pa.Table.from_pylist(out, pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("alone", pa.bool_()), ("last", pa.bool_())]))
 
     def states(left: pa.Table, right: pa.Table) -> pa.Table:
-        ends = {(r["conv"], r["block"]): (r["entry"], r["leave"]) for r in right.to_pylist()}
-        emit, found = _emissions(model, left), np.zeros(left.num_rows, np.int64)
-        for rows in _blocks(left):
-            entry, state = ends[left["conv"][int(rows[0])].as_py(), left["block"][int(rows[0])].as_py()]
-            score, back = (start if entry < 0 else model["move"][entry]) + emit[rows[0]], []
-            for i in rows[1:]:
-                total = score[:, None] + model["move"]
-                back.append(total.argmax(0))
-                score = total.max(0) + emit[i]
-            for i, b in zip(rows[:0:-1], reversed(back), strict=True):
-                found[i] = state
-                state = int(b[state])
-            found[rows[0]] = state
-        return pa.table({"conv_id": left["conv_id"], "line_no": left["line_no"], "block": left["block"], "body": left["body"], "role": pa.array([ROLES[s // 2] for s in found], pa.string()), "begins": pa.array(found % 2 == 0)})
+        ends = {(r["conv"], r["block"]): r for r in right.to_pylist()}
+        emit = _emissions(model, left)
+
+        def found():
+            for rows in _blocks(left):
+                end = ends[left["conv"][int(rows[0])].as_py(), left["block"][int(rows[0])].as_py()]
+                yield rows, lambda rows=rows, end=end: _path(model, emit[rows], end["entry"], end["leave"]), end["alone"], end["last"]
+
+        return rows_of(left, found())
 
     parts = seen.select(task, "conv", "block", "line_no", "rank", "marker", "size", "asks").groupBy("task").applyInArrow(matrices, "conv long, block long, matrix array<double>")
-    ends = parts.groupBy(F.pmod("conv", F.lit(tasks)).alias("task")).applyInArrow(chained, "conv long, block long, entry int, leave int")
-    kind = lines.schema["conv_id"].dataType.simpleString()
+    ends = parts.groupBy(F.pmod("conv", F.lit(tasks)).alias("task")).applyInArrow(chained, "conv long, block long, entry int, leave int, alone boolean, last boolean")
     both = seen.select(task, "*").groupBy("task").cogroup(ends.select(task, "*").groupBy("task"))
-    return both.applyInArrow(states, f"conv_id {kind}, line_no long, block long, body string, role string, begins boolean")
+    kind = lines.schema["conv_id"].dataType.simpleString()
+    return both.applyInArrow(states, f"conv_id {kind}, {schema}")
 
 
-def turns(decoded: DataFrame) -> DataFrame:
-    """conv_id, first_line, role, n_lines, text and rendered, a row for each turn."""
-    decoded = checkpointed(decoded)
-    within = W.partitionBy("conv_id", "block").orderBy("line_no", F.col("begins").desc(), "body").rowsBetween(W.unboundedPreceding, 0)
-    own = decoded.withColumn("first_line", F.last(F.when(F.col("begins"), F.col("line_no")), ignorenulls=True).over(within))
-    # A turn that goes on from an earlier block has that block's last beginning.
-    last = decoded.where("begins").groupBy("conv_id", "block").agg(F.max("line_no").alias("last"))
-    blocks = decoded.select("conv_id", "block").distinct().join(last, ["conv_id", "block"], "left")
-    carry = blocks.select("conv_id", "block", F.last("last", ignorenulls=True).over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    own = own.join(carry.withColumnRenamed("conv_id", "conv"), own["conv_id"].eqNullSafe(F.col("conv")) & (own["block"] == carry["block"]), "left").withColumn("first_line", F.coalesce("first_line", "carried"))
-    joined = own.groupBy("conv_id", "first_line").agg(F.max_by("role", F.struct(F.col("begins"), -F.col("line_no"))).alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: x["body"]), "\n")
-    return joined.select("conv_id", "first_line", "role", "n_lines", text.alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
+def decode(lines: DataFrame, model: dict[str, np.ndarray], block_bits: int = BLOCK_BITS) -> DataFrame:
+    """lines(conv_id, line_no, text) with role, begins and body."""
+
+    def rows_of(left: pa.Table, blocks) -> pa.Table:
+        states = np.zeros(left.num_rows, np.int64)
+        for rows, path, _, _ in blocks:
+            states[rows] = path()
+        return pa.table({"conv_id": left["conv_id"], "line_no": left["line_no"], "body": left["body"], "role": pa.array([ROLES[s // 2] for s in states], pa.string()), "begins": pa.array(states % 2 == 0)})
+
+    return _with_states(lines, model, block_bits, rows_of, "line_no long, body string, role string, begins boolean")
+
+
+def turns(lines: DataFrame, model: dict[str, np.ndarray], block_bits: int = BLOCK_BITS) -> DataFrame:
+    """conv_id, first_line, role, n_lines, text and rendered, a row for each turn of lines(conv_id, line_no, text).
+
+    Turns within a block are joined where the block is decoded; only the pieces of turns that cross a block's
+    edge are shuffled again.
+    """
+
+    def pieces(crossing: bool):
+        def rows_of(left: pa.Table, blocks) -> pa.Table:
+            number, body = left["line_no"].to_numpy(), left["body"]
+            at, first, role, size, text = [], [], [], [], []
+            for rows, path, alone, last in blocks:
+                if crossing and alone:
+                    continue
+                states = path()
+                begins = states % 2 == 0
+                cuts = [0, *(k for k in np.flatnonzero(begins).tolist() if k), len(rows)]
+                whole = body.take(pa.array(rows)).to_pylist()
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if crossing == (not begins[a] or (b == len(rows) and not last)):
+                        at.append(int(rows[a]))
+                        first.append(int(number[rows[a]]) if begins[a] else None)
+                        role.append(ROLES[states[a] // 2])
+                        size.append(b - a)
+                        text.append("\n".join(whole[a:b]))
+            taken = left.select(["conv_id", "line_no"]).take(pa.array(at, pa.int64()))
+            return pa.table({"conv_id": taken["conv_id"], "line_no": taken["line_no"], "first_line": pa.array(first, pa.int64()), "role": pa.array(role, pa.string()), "n_lines": pa.array(size, pa.int64()), "text": pa.array(text, pa.string())})
+
+        return _with_states(lines, model, block_bits, rows_of, "line_no long, first_line long, role string, n_lines long, text string")
+
+    order = W.partitionBy("conv_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    crossing = pieces(True).withColumn("first_line", F.last("first_line", ignorenulls=True).over(order))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    joined = crossing.groupBy("conv_id", "first_line").agg(F.min_by("role", "line_no").alias("role"), F.sum("n_lines").alias("n_lines"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    whole = pieces(False).drop("line_no").unionByName(joined)
+    return whole.select("conv_id", "first_line", "role", "n_lines", "text", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("rendered"))
 
 
 TURN_BITS = 24
@@ -189,5 +237,5 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
 def op2_chat(spark, sf_dir) -> DataFrame:
     lines = as_transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     bits = TURN_BITS + 6  # blocks of 64 turns
-    found = turns(decode(lines, fit(lines, bits), bits))
+    found = turns(lines, fit(lines, bits), bits)
     return found.select("conv_id", F.shiftright("first_line", TURN_BITS).alias("turn"), F.expr(f"first_line & {(1 << TURN_BITS) - 1}").alias("line"), "role", "n_lines", "rendered")

@@ -166,9 +166,8 @@ def test_chat_blocks_agree(spark):
     lines = chat.as_transcript(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).cache()
     model = chat.fit(lines, 40)
     results = []
-    for bits in (24, 26, 40):
-        decoded = chat.decode(lines, model, bits)
-        results.append(sorted((r.conv_id, r.first_line, r.role, r.rendered) for r in chat.turns(decoded).collect()))
+    for bits in (0, 24, 26, 40):
+        results.append(sorted((r.conv_id, r.first_line, r.role, r.n_lines, r.rendered) for r in chat.turns(lines, model, bits).collect()))
     assert results[0] == results[1] == results[2]
     truth = {(r.conv_id, r.line_no): r.role for r in lines.collect()}
     got = {(r.conv_id, r.line_no): r.role for r in chat.decode(lines, model, 40).collect()}
