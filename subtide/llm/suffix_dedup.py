@@ -57,16 +57,27 @@ class RunLengthIndex:
         for j in range(step):
             rank <<= bits
             rank[: n - j] += np.where(left[: n - j] >= j, code[j:], 0)
-        rank = np.unique(rank, return_inverse=True)[1]
-        early, width = (rank, step) if 2 * step >= LENGTH else (None, 0)
+        # Prefix doubling; a rank is the number of smaller suffixes, and only suffixes that still tie are sorted again.
+        key, tied = rank, np.arange(n)
+        rank = np.zeros(n, np.int64)
+        early, width = None, 0
         while True:
-            after = np.where(left < step, item, np.append(rank[step:], np.zeros(min(step, n), np.int64))[:n])
-            found, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
-            step *= 2
+            order = np.argsort(key)
+            key, tied = key[order], tied[order]
+            old = rank[tied]
+            at = np.arange(len(tied))
+            head = np.append(True, key[1:] != key[:-1])[: len(tied)]
+            first = np.maximum.accumulate(np.where(head, at, 0))
+            group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1])[: len(tied)], at, 0))
+            rank[tied] = old + first - group
             if early is None and 2 * step >= LENGTH:
-                early, width = rank, step
-            if len(found) == n and early is not None:
+                early, width = rank.copy(), step
+            tied = tied[~(head & np.append(head[1:], True))[: len(tied)]]
+            if not len(tied) and early is not None:
                 break
+            ahead = rank[np.minimum(tied + step, n - 1)]
+            key = rank[tied] * (n + 1) + np.where(left[tied] < step, item[tied], ahead)
+            step *= 2
         self.text, self.n = text, n
         sa = np.empty(n, np.int64)
         sa[rank] = np.arange(n)
