@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
 from subtide.operators import scoring, sessions
-from subtide.plans.registry import _GRAMS, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _grams, _normal_sql, _t, cache_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.plans.registry import _GRAMS, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _grams, _normal_sql, _t, all_sentences_of, cache_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -251,7 +251,7 @@ def set4_delete_entries(spark, d):
 
 @query()
 def strf7_merge_overlap(spark, d):
-    own = sentences_of(spark, d)
+    own = all_sentences_of(spark, d)
     following = F.lead("sentence").over(W.partitionBy("doc_id").orderBy("i"))
     return own.withColumn("following", following).where("following IS NOT NULL").select("doc_id", "i", text.merge_overlap(F.col("sentence"), F.col("following")).alias("merged"))
 

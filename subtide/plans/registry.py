@@ -225,8 +225,18 @@ _SENTENCES = r"""split AS (SELECT doc_id, string_split(regexp_replace(text, '([.
 sentences AS (SELECT doc_id, CAST(i AS BIGINT) AS i, s[i + 1] AS sentence FROM (SELECT doc_id, list_filter(s, lambda x: trim(x, ' ') <> '') AS s, unnest(range(len(list_filter(s, lambda x: trim(x, ' ') <> '')))) AS i FROM split))"""
 
 
+def all_sentences_of(spark, d) -> DataFrame:
+    """The sentences of every document."""
+    return _sentences(_t(spark, d, "documents"))
+
+
 def sentences_of(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("bigint"))
+    """The English documents' sentences, as in ``_SENTENCES``; for queries that are compared with it."""
+    return _sentences(_t(spark, d, "documents").where("lang = 'en'"))
+
+
+def _sentences(docs) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("bigint"))
 
 
 @query(f"WITH {_SENTENCES} SELECT * FROM sentences")
@@ -262,7 +272,7 @@ def flt8_connector(spark, d):
 
 @query()
 def strf6_join_overlap(spark, d):
-    own = sentences_of(spark, d)
+    own = all_sentences_of(spark, d)
     nxt = own.select("doc_id", (F.col("i") - 1).alias("i"), F.col("sentence").alias("following"))
     return own.join(nxt, ["doc_id", "i"]).select("doc_id", "i", text.join_overlap(F.col("sentence"), F.col("following")).alias("joined"))
 
@@ -270,7 +280,7 @@ def strf6_join_overlap(spark, d):
 @query()
 def strf8_stabilize(spark, d):
     before = F.lag("sentence").over(W.partitionBy("doc_id").orderBy("i"))
-    return sentences_of(spark, d).select("doc_id", "i", text.stabilize(before, F.col("sentence")).alias("shown"))
+    return all_sentences_of(spark, d).select("doc_id", "i", text.stabilize(before, F.col("sentence")).alias("shown"))
 
 
 @query(r"SELECT doc_id, CAST(len(r) AS BIGINT) AS n_runs, array_to_string(r, '') = text AS lossless FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}''’-]+|[^\p{L}\p{N}''’-]+') AS r FROM documents)")
