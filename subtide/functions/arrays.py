@@ -39,6 +39,11 @@ def ngrams(text: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
 
 
+def tokens(text: Column) -> Column:
+    """The words between single spaces; none in an empty text."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance over tokens: each distinct token of the pair becomes one code point. For under 20,000 distinct tokens."""
     names = F.array_distinct(F.concat(a, b))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Texts that only fill a pause.
 FILLERS = ["ehm", "euh", "uh", "um", "uhm", "hm", "hmm", "mmm", "ja ehm", "nou ehm"]
@@ -99,9 +104,19 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}'’-]+|[^\p{L}\p{N}'’-]+"), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def _unicode_evaluation_text(texts: pd.Series) -> pd.Series:
+    def normal(text: str) -> str:
+        text = unicodedata.normalize("NFKC", text).lower().replace("’", "'")
+        return " ".join(re.sub(r"[^\w\s']+", " ", text).split())
+
+    return texts.map(normal, na_action="ignore")
+
+
 def evaluation_text(text: Column) -> Column:
-    """Lower case, straight apostrophes, everything else than words as single spaces (ASCII input; NFKC is the caller's)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "’", "'"), r"[^a-z0-9_']+", " "))
+    """NFKC, lower case, straight apostrophes, everything else than words as single spaces; rows with non-ASCII characters in Python."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_']+", " "))
+    return F.coalesce(_unicode_evaluation_text(F.when(text.rlike(r"[^\x00-\x7F]"), text)), plain)
 
 
 def timestamp(ms: Column, separator: str = ",") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
 from subtide.operators import scoring, sessions
-from subtide.plans.registry import _GRAMS, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _grams, _normal_sql, _t, all_sentences_of, cache_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.plans.registry import _GRAMS, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _grams, _normal_sql, _t, all_pairs_of, all_sentences_of, cache_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -268,7 +268,7 @@ def mth5_letter_distance(spark, d):
 
 @query()
 def mth5_word_distance(spark, d):
-    return pairs_of(spark, d).select("item_id", arrays.word_distance(F.split("reference", " "), F.split("hypothesis", " ")).cast("bigint").alias("words"))
+    return all_pairs_of(spark, d).select("item_id", arrays.word_distance(arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))).cast("bigint").alias("words"))
 
 
 def _timed(spark, d):

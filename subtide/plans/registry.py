@@ -97,8 +97,17 @@ _MESSAGES = """messages AS (SELECT user_id AS client_id, event_id AS seq, CASE e
                CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events)"""
 
 
+def all_pairs_of(spark, d) -> DataFrame:
+    """Pairs of whole evaluation texts; a null text is empty."""
+    return _pairs(_t(spark, d, "benchmark").select("item_id", text.evaluation_text(F.coalesce("text", F.lit(""))).alias("t")))
+
+
 def pairs_of(spark, d) -> DataFrame:
-    items = _t(spark, d, "benchmark").select("item_id", text.evaluation_text(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("t"))
+    """Pairs of the ASCII letters only, as in ``_PAIRS``; for queries that are compared with it."""
+    return _pairs(_t(spark, d, "benchmark").select("item_id", text.evaluation_text(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("t")))
+
+
+def _pairs(items) -> DataFrame:
     nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("hypothesis"))
     return items.withColumnRenamed("t", "reference").join(nxt, "item_id")
 
@@ -608,8 +617,8 @@ def mth7_cer(spark, d):
 
 @query()
 def mth6_wer(spark, d):
-    a, b = F.split("reference", " "), F.split("hypothesis", " ")
-    return pairs_of(spark, d).select("item_id", F.round(arrays.error_rate(arrays.word_distance(a, b), F.size(a), F.size(b)), 6).alias("wer"))
+    a, b = arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))
+    return all_pairs_of(spark, d).select("item_id", F.round(arrays.error_rate(arrays.word_distance(a, b), F.size(a), F.size(b)), 6).alias("wer"))
 
 
 _GRAMS = f"""{_PAIRS}, n(n) AS (VALUES (1), (2), (3), (4), (5), (6)), grams AS (

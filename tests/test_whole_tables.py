@@ -1,5 +1,8 @@
 """Queries without SQL see every row of their tables."""
 
+from pyspark.sql import functions as F
+
+from subtide.functions import text
 from subtide.plans import records, registry
 
 
@@ -10,3 +13,15 @@ def test_sentences_of_every_language(spark, tmp_path):
     assert joined == {1: "One two. Two three.", 2: "Eins zwei. Zwei drei.", 3: "Un deux. Deux trois.", 4: "Uno dos. Dos tres.", 5: "Een. Twee."}
     assert {(r.doc_id, r.i) for r in registry.strf8_stabilize(spark, str(tmp_path)).collect()} == {(k, i) for k in range(1, 6) for i in (0, 1)}
     assert {r.doc_id for r in records.strf7_merge_overlap(spark, str(tmp_path)).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_evaluation_texts_of_every_script(spark, tmp_path):
+    texts = ["La Canción’s ﬁn, x²!", "la cancion's fin x2", "Привет, мир", "привет мир", None, "one two"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    frame.write.parquet(f"{tmp_path}/benchmark.parquet")
+    normal = {r.item_id: r.t for r in frame.select("item_id", text.evaluation_text(F.col("text")).alias("t")).collect()}
+    assert normal == {0: "la canción's fin x2", 1: "la cancion's fin x2", 2: "привет мир", 3: "привет мир", 4: None, 5: "one two"}
+    wer = {r.item_id: r.wer for r in registry.mth6_wer(spark, str(tmp_path)).collect()}
+    assert wer == {0: 0.25, 1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0}
+    words = {r.item_id: r.words for r in records.mth5_word_distance(spark, str(tmp_path)).collect()}
+    assert words == {0: 1, 1: 4, 2: 0, 3: 2, 4: 2}
