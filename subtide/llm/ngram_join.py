@@ -17,7 +17,8 @@ bundle are joined with each other, tile by tile.
 
 Defined results: lower case is A-Z only; a text with fewer words than a shingle has its whole word
 sequence as the one shingle; null and empty texts have no shingles, link with nothing and are their own
-component; rows that repeat a doc_id are one node if their texts agree, else linked only by their sets.
+component; a row is known by its doc_id and text, so rows that repeat a doc_id or have none are linked only by
+their sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subtide.llm.common import checkpointed, fan_out, flat, lowered, mix, pieces, prefix_sums, span_hashes, tabled, word_spans
@@ -331,10 +332,20 @@ def links_in_bundle(sets: list[np.ndarray], num: int, den: int, known: np.ndarra
     return np.array([find(i) for i in range(len(sets))])
 
 
+def _row_key() -> Column:
+    """Id and text of a row; null ids sort last. Rows with the same key are copies."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+
+
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id: documents link when den * |A & B| >= num * |A | B|."""
+    found = _row_components(docs.select(_row_key().alias("doc_id"), "text"), words, num, den)
+    return found.select("doc_id.id", "n_shingles", "set_id", F.col("component_id.id").alias("component_id")).withColumnRenamed("id", "doc_id")
+
+
+def _row_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``jaccard_components`` of docs(doc_id, text), where doc_id is a row key and never null."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     rows = checkpointed(set_rows(docs, words))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(fan_out(spark), int(total * 2.4 * (den - num) / num) // ENTRIES_PER_BUCKET + 1)
@@ -421,9 +432,13 @@ def _large(found: DataFrame, ties: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id; rows that repeat an id are one document."""
-    kept = jaccard_components(docs, words, num, den).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that with the smallest doc_id (null last), then text hash; copies of an id and text are one row."""
+    keyed = docs.select("*", _row_key().alias("row_key"))
+    found = _row_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), words, num, den)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("row_key")).distinct()
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))
+    rows = keyed.join(kept, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"), F.min(others).alias("others"))
+    return rows.select(*[F.col("row_key.id").alias(c) if c == "doc_id" else F.col(c) if c == "text" else F.col(f"others.{c}") for c in docs.columns])
 
 
 def op9_ngram_join(spark, sf_dir) -> DataFrame:
