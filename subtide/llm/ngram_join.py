@@ -102,7 +102,8 @@ class Bands:
 
     def _grow(self, n: int) -> None:
         while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.4)))
+            least = (self.low[-1] - 1) * self.den // self.num + 1  # over the largest set that links with one of the band before
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.4), least))
 
     def of(self, n: np.ndarray) -> np.ndarray:
         self._grow(int(n.max(initial=1)) + 1)

@@ -1,5 +1,7 @@
 """Rows without an id or with a repeated one in the n-gram join."""
 
+import numpy as np
+
 from subtide.llm import ngram_join
 
 DOCS = "doc_id long, text string, lang string"
@@ -22,3 +24,14 @@ def test_sets_without_ids_are_verified(spark):
     assert [r.component_id for r in got] == [7, 7, 7]
     alone = ngram_join.drop_near_duplicates(spark.createDataFrame(rows[:2], DOCS)).collect()
     assert len(alone) == 1
+
+
+def test_nested_sets_of_unlike_sizes(spark):
+    words = [f"w{i}" for i in range(181)]
+    rows = [(0, " ".join(words), "x"), (1, " ".join(words[:101]), "x")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), 2, 1, 2).collect()}
+    assert got == {0: 0, 1: 0}
+    bands = ngram_join.Bands(1, 2)
+    for a in range(1, 400):
+        low, high = bands.of(np.array([a, 2 * a]))
+        assert high - low <= 1 and 2 * a < bands.low[low + 2]
