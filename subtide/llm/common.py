@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Space and the control characters 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers: list[np.ndarray] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +36,13 @@ def tabled(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests), a temporary one."""
+    """The session's checkpoint folder. Only a local session may have none: it gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if (folder := context.getCheckpointDir()) is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder
 
@@ -69,18 +71,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES) -> I
         i = j
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PIECE_BYTES + 1024)
-        steps = []
-        for base in (_MULTIPLIER, _INVERSE):
-            power = np.full(n, base, np.uint64)
-            power[0] = 1
-            steps.append(np.cumprod(power, dtype=np.uint64))
-        _powers[:] = steps
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -90,15 +80,93 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64: the hash of data[s:e] is (p[e] - p[s]) * inverse**s."""
+#: A prime below 2**31: products of two residues fit 62 bits.
+PRIME = (1 << 31) - 1
+#: Bytes whose weighted sum stays below 2**62.
+_SUMMED = 1 << 22
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint32)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more].astype(np.int64) * pow(base, done, PRIME) % PRIME
+        done += more
+    return out
+
+
+_tables: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+class SpanHasher:
+    """Hashes of byte spans that stand for the bytes themselves.
+
+    Two polynomials modulo a prime with bases that are drawn anew for each run, so no pair of texts is known
+    to collide: two given spans of n bytes are equal by chance with a probability under (n / 2**31)**2, and for
+    texts written without knowledge of the bases about 2**-62. The bases travel with the object to the tasks.
+    """
+
+    def __init__(self, bases: tuple[int, int] | None = None):
+        self.bases = bases or (1 << 16 | secrets.randbelow(PRIME - (1 << 17)), 1 << 16 | secrets.randbelow(PRIME - (1 << 17)))
+
+    def _powers(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each base its powers and those of its inverse; kept for the process."""
+        found = _tables.get(self.bases)
+        if found is None or len(found[0][0]) < n:
+            if len(_tables) > 4:
+                _tables.clear()
+            n = max(n, PIECE_BYTES + 1024)
+            found = _tables[self.bases] = [(_powers_of(b, n), _powers_of(pow(b, -1, PRIME), n)) for b in self.bases]
+        return found
+
+    def sums(self, data: np.ndarray) -> list[np.ndarray]:
+        """For each base the prefix sums of (byte + 1) * base**place, congruent modulo the prime."""
+        n, out = len(data), []
+        for power, _ in self._powers(n + 1):
+            sums = np.zeros(n + 1, np.int64)
+            carry = 0
+            for a in range(0, n, _SUMMED):
+                b = min(a + _SUMMED, n)
+                part = sums[a + 1 : b + 1]
+                np.multiply(power[a:b], data[a:b], out=part, dtype=np.int64)
+                part += power[a:b]
+                np.cumsum(part, out=part)
+                part += carry
+                carry = int(part[-1]) % PRIME
+            out.append(sums)
+        return out
+
+    def spans(self, sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of data[start:end]; the length is part of the hash."""
+        halves = [(s[ends] - s[starts]) % PRIME * inverse[starts] % PRIME for s, (_, inverse) in zip(sums, self._powers(len(sums[0])), strict=True)]
+        return mix(mix((halves[0] << 31 | halves[1]).view(np.uint64)) + (ends - starts).astype(np.uint64))
+
+
+_ROLLING = 0x9E3779B97F4A7C15
+_rolled: list[np.ndarray] = []
+
+
+def _rolling(n: int) -> list[np.ndarray]:
+    if not _rolled or len(_rolled[0]) < n:
+        n = max(n, PIECE_BYTES + 1024)
+        steps = [np.full(n, base, np.uint64) for base in (_ROLLING, pow(_ROLLING, -1, 1 << 64))]
+        for power in steps:
+            power[0] = 1
+        _rolled[:] = [np.cumprod(power, dtype=np.uint64) for power in steps]
+    return _rolled
+
+
+def rolling_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums modulo 2**64, for ``rolling_hashes``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _grown(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _rolling(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * _grown(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+def rolling_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Cheap hashes of spans, the same in every run. Long spans can be made to collide: for features and routing only, never as identity."""
+    return mix((sums[ends] - sums[starts]) * _rolling(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
 
 
 _SPACE = np.zeros(256, bool)

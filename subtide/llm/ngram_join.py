@@ -4,16 +4,20 @@ A document is the set of its distinct word shingles. Inside a bundle, shingles a
 and the group counts are a point; an R-tree over the points bounds the overlap of two nodes, and of
 two documents, by the summed coordinate minima; surviving pairs are verified on the sets.
 
-An R-tree over millions of such points does not prune (they all lie about n / groups), so bundles come
-first. Two sets that link differ in at most d elements, d following from the smaller size; of d + 2
-ranges of the hash space at least two hold the same elements in both. Each set sends a hash of every
-range that is not empty, and of every pair of empty ranges. Sets with a common hash are a list; the
-R-tree prunes its pairs by the bound, and what stays connected is tied together. Connected ties are a
-bundle. A link shares a list and is never pruned, so none crosses bundles and the result is exact.
+An R-tree over millions of such points does not prune (they all lie about n / groups), so lists come
+first. Two sets that link differ in at most d elements, d following from the smaller size. The hash
+space is cut into ranges, and what a set has in a range that is not empty is a token, so two sets that
+link differ in at most d ranges; if either has more than d tokens, the first d + 1 tokens of both in any
+common order have one in common. The order begins with the tokens of most elements, which unrelated sets
+share least. Every set sends the hashes of its first d + 1 tokens; a set with d tokens or fewer also sends
+its n - ceil(similarity * n) + 1 smallest elements, of which two such sets that link share one. So every
+key is made of content. Sets with a common key are a list; the R-tree prunes its pairs by the bound, and
+what stays connected is tied together. Connected ties are a bundle. A link shares a list and is never
+pruned, so none crosses bundles and the result is exact.
 
 Equal sets are one node, whatever their number. Bundles over ``BUNDLE_SETS`` sets are not gathered:
 their ties are verified as joins, and only if that leaves more than one component, blocks of the
-bundle are joined with each other, tile by tile.
+bundle are joined with each other, tile by tile. Lists over ``LIST_SETS`` sets are cut likewise.
 
 Defined results: lower case is A-Z only; a text with fewer words than a shingle has its whole word
 sequence as the one shingle; null and empty texts have no shingles, link with nothing and are their own
@@ -26,23 +30,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import checkpointed, fan_out, flat, lowered, mix, pieces, prefix_sums, span_hashes, tabled, word_spans
+from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, lowered, mix, pieces, tabled, word_spans
 
-ENTRIES_PER_BUCKET, BUNDLE_SETS, TILE_SETS, BYTES_PER_TASK = 1_000_000, 256, 1000, 16 << 20
+ENTRIES_PER_BUCKET, LIST_SETS, BUNDLE_SETS, TILE_SETS, REST_SETS, BYTES_PER_TASK, SPREAD = 1_000_000, 4096, 256, 256, 64, 16 << 20, 4
 GROUPS, LEAF = 64, 16
 _C = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, and their offsets."""
     low = lowered(data)
     starts, ends, first = word_spans(low, offsets)
-    hashes = span_hashes(prefix_sums(low), starts, ends)
+    hashes = hasher.spans(hasher.sums(low), starts, ends)
     n = len(offsets) - 1
     counts = np.diff(first)
     owner = np.repeat(np.arange(n), counts)
@@ -88,6 +91,16 @@ def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point in the narrowest of 8, 16 or 32 bits, named by the first byte."""
+    kind = next(k for k in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * k)
+    return bytes([kind]) + counts.astype(f"<u{kind}").tobytes()
+
+
+def unpacked(point: memoryview) -> np.ndarray:
+    return np.frombuffer(point, f"<u{memoryview(point)[0]}", offset=1)
+
+
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points with the fewest groups that any of them has."""
     least = min(map(len, points))
@@ -95,7 +108,7 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
 
 
 class Bands:
-    """Size bands: linking sets lie in one band or two neighbouring ones; ranges for the lower band's differences."""
+    """Size bands: linking sets lie in one band or two neighbouring ones, and the lower one sets their ranges."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.low = num, den, [1]
@@ -103,75 +116,97 @@ class Bands:
     def _grow(self, n: int) -> None:
         while self.low[-1] <= n:
             least = (self.low[-1] - 1) * self.den // self.num + 1  # over the largest set that links with one of the band before
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.4), least))
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.2), least))
 
     def of(self, n: np.ndarray) -> np.ndarray:
         self._grow(int(n.max(initial=1)) + 1)
         return np.searchsorted(self.low, n, "right") - 1
 
+    def differ(self, band: int) -> int:
+        """The most elements in which sets differ that link, the smaller being of the band; 0 where only equal sets link."""
+        return (self.low[band + 1] - 1) * (self.den - self.num) // self.num
+
     def ranges(self, band: int) -> int:
-        """0 where only equal sets link."""
-        d = (self.low[band + 1] - 1) * (self.den - self.num) // self.num
-        return d + 2 if d else 0
+        """So many that nearly every set of the band has more than ``differ`` tokens; 1 where that cannot be."""
+        d, n = self.differ(band), self.low[band]
+        if d + 1 > 0.9 * n and n > 12 or d >= n:
+            return 1
+        m = d + 2
+        while m < 16 * n:
+            full = 1 - np.exp(n * np.log1p(-1 / m))
+            if m * full - 3 * np.sqrt(m * full * (1 - full)) >= d + 1:
+                break
+            m += m // 16 + 1
+        return m
+
+
+def _first(keys: np.ndarray, who: np.ndarray, most: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Places of the ``most[who]`` first entries of each owner, in the order of ``before``, then the keys."""
+    order = np.lexsort((keys, *before[::-1], who))
+    owner = who[order]
+    rank = np.arange(len(order)) - np.searchsorted(owner, owner)
+    return order[rank < most[owner]]
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signature hashes and the row of each."""
     sizes = np.diff(bounds)
-    filled = np.flatnonzero(sizes > 0)
     keys, rows = [], []
-    if not len(filled):
+    if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     own = bands.of(sizes)
     mixed = mix(sets ^ _C[61])
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    table = np.array([bands.ranges(b) for b in range(int(own.max()) + 1)], np.uint64)
+    every = range(int(own.max()) + 1)
+    differ, ranges = np.array([bands.differ(b) for b in every]), np.array([bands.ranges(b) for b in every], np.uint64)
     for step in (0, 1):
         band = own - step
-        m = np.where((sizes > 0) & (band >= 0), table[np.maximum(band, 0)], np.uint64(0))
-        use = (m > 0)[owner]
-        if not use.any():
+        d = np.where((sizes > 0) & (band >= 0), differ[np.maximum(band, 0)], 0)
+        at = np.flatnonzero((d > 0)[owner])
+        if not len(at):
             continue
-        at = np.flatnonzero(use)
         who = owner[at]
-        part = ((sets[at] >> np.uint64(32)) * m[who]) >> np.uint64(32)
+        label = mix((np.maximum(band, 0).astype(np.uint64) + np.uint64(1)) << np.uint64(40))
+        part = ((sets[at] >> np.uint64(32)) * ranges[band[who]]) >> np.uint64(32)
         head = np.ones(len(at), bool)
         head[1:] = (part[1:] != part[:-1]) | (who[1:] != who[:-1])
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(at))
-        total = upto[at[last - 1] + 1] - upto[at[first]]
-        who, part = who[first], part[first]
-        label = mix((band[who].astype(np.uint64) << np.uint64(40)) + part)
-        keys.append(mix(total + label + (last - first).astype(np.uint64)))
-        rows.append(who)
-        present = np.bincount(who, minlength=len(sizes))
-        for i in np.flatnonzero(m.astype(np.int64) - present >= 2):
-            a, b = np.searchsorted(who, [i, i + 1])
-            empty = np.setdiff1d(np.arange(int(m[i]), dtype=np.uint64), part[a:b])
-            x, y = np.triu_indices(len(empty), 1)
-            keys.append(mix((empty[x] << np.uint64(20)) + empty[y] + (np.uint64(band[i] + 1) << np.uint64(44)) ^ _C[62]))
-            rows.append(np.full(len(x), i))
+        token = mix(mix(upto[at[last - 1] + 1] - upto[at[first]] + (last - first).astype(np.uint64)) + label[who[first]] + part[first])
+        who = who[first]
+        chosen = _first(token, who, d + 1, first - last)
+        keys.append(token[chosen])
+        rows.append(who[chosen])
+        few = (d > 0) & (np.bincount(who, minlength=len(sizes)) <= d)
+        at = at[few[owner[at]]]
+        if len(at):
+            most = sizes - (sizes * bands.num + bands.den - 1) // bands.den + 1
+            element = mix(sets[at] ^ _C[62])
+            chosen = _first(element, owner[at], most)
+            keys.append(mix(element[chosen] + label[owner[at[chosen]]]))
+            rows.append(owner[at[chosen]])
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
+def set_rows(docs: DataFrame, words: int, hasher: SpanHasher) -> DataFrame:
     """doc_id, n_shingles, set_id (null without shingles) and counts, the point of the R-tree."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = flat(batch.column(1))
             for i, j, part, own in pieces(data, offsets):
-                sets, bounds = shingle_sets(part, own, words)
+                sets, bounds = shingle_sets(part, own, words, hasher)
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array([group_counts(sets[a:b], groups_for(b - a)).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
+                points = [packed(group_counts(sets[a:b], groups_for(b - a))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_shingles long, set_id long, counts binary")
 
 
-def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
-    """list, node: the different lists of sets with a common signature."""
+def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int, hasher: SpanHasher) -> DataFrame:
+    """task, list, node: the lists of sets with a common signature. Lists with the same smallest set go to ``SPREAD`` tasks."""
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -179,7 +214,7 @@ def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Dat
             data, offsets = flat(batch.column(0))
             found = []
             for _, _, part, own in pieces(data, offsets):
-                sets, bounds = shingle_sets(part, own, words)
+                sets, bounds = shingle_sets(part, own, words, hasher)
                 keys, rows = signatures(sets, bounds, bands)
                 found.append(np.stack([keys.view(np.int64), set_ids(sets, bounds)[rows]], 1))
             if not found:
@@ -202,56 +237,113 @@ def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Dat
         fresh = np.append(True, (found[1:] != found[:-1]).any(1)) if len(found) else np.zeros(0, bool)
         found = found[fresh]
         bounds = np.append(np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])), len(found)) if len(found) else np.zeros(1, np.int64)
-        size = np.diff(bounds)
-        name = mix(_sums(mix(found[:, 1].view(np.uint64).copy()), bounds) + size.astype(np.uint64))
+        size, node = np.diff(bounds), np.ascontiguousarray(found[:, 1])
+        name = mix(_sums(mix(node.view(np.uint64)), bounds) + size.astype(np.uint64))
+        task = (mix(node.view(np.uint64)[bounds[:-1]]) + name % np.uint64(SPREAD)) % np.uint64(buckets)
         first = np.zeros(len(size), bool)
         first[np.unique(name, return_index=True)[1]] = True
-        kept = np.repeat(first & (size > 1), size)
-        return pa.table({"list": pa.array(np.repeat(name, size)[kept].view(np.int64)), "node": pa.array(np.ascontiguousarray(found[kept, 1]))})
+        kept = np.repeat(first & (size > 1) & (size <= LIST_SETS), size)
+        tasks, names, nodes = [np.repeat(task, size)[kept]], [np.repeat(name, size)[kept]], [node[kept]]
+        for k in np.flatnonzero(first & (size > LIST_SETS)):
+            blocks = np.array_split(node[bounds[k] : bounds[k + 1]], -(-2 * size[k] // LIST_SETS))
+            for i in range(len(blocks)):
+                for j in range(i):
+                    part = mix(name[k : k + 1] + np.uint64(i << 32 | j))
+                    nodes.append(np.concatenate([blocks[i], blocks[j]]))
+                    names.append(np.repeat(part, len(nodes[-1])))
+                    tasks.append(names[-1] % np.uint64(buckets))
+        columns = (np.concatenate(x) for x in (tasks, names, nodes))
+        return pa.table({c: pa.array(x.view(np.int64)) for c, x in zip(("task", "list", "node"), columns, strict=True)})
 
     sent = docs.select("text").mapInArrow(send, "bucket long, entries binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "list long, node long").distinct()
-
-
-def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """a, b: sets of a list that the bound leaves connected, tied to the smallest one."""
-
-    def prune(table: pa.Table) -> pa.Table:
-        node, sizes, name = (table[c].to_numpy() for c in ("node", "n", "list"))
-        points = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]]
-        order = np.lexsort((node, name))
-        cuts = np.append(np.flatnonzero(np.append(True, np.diff(name[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
-        length = np.diff(cuts)
-        two = cuts[:-1][length == 2]
-        x, y = order[two], order[two + 1]
-        bound = np.fromiter((np.minimum(*folded([points[i], points[j]])).sum() for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
-        fits = bound * (num + den) >= num * (sizes[x] + sizes[y])
-        pairs = [np.stack([node[x], node[y]], 1)[fits]]
-        for a, b in zip(cuts[:-1][length > 2], cuts[1:][length > 2], strict=True):
-            own = order[a:b]
-            root = _connected(len(own), RTree(folded([points[i] for i in own]), sizes[own]).pairs(num, den))
-            pairs.append(np.stack([node[own][root], node[own]], 1)[root != np.arange(len(own))])
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
-
-    points = lists.join(reps.select(F.col("set_id").alias("node"), "n", "counts"), "node")
-    return points.select(F.pmod("list", F.lit(tasks)).alias("task"), "list", "node", "n", "counts").groupBy("task").applyInArrow(prune, "a long, b long").distinct()
-
-
-def _connected(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
-    root = list(range(n))
-    for a, b in pairs:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        while root[b] != b:
-            root[b] = root[root[b]]
-            b = root[b]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    for i in range(n):
-        root[i] = root[root[i]]
-    return np.array(root)
+    return sent.groupBy("bucket").applyInArrow(meet, "task long, list long, node long")
+
+
+def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: sets that the bound leaves connected within a list, tied to one of them. A set's point is sent once to each task."""
+
+    def prune(left: pa.Table, right: pa.Table) -> pa.Table:
+        node, sizes = right["node"].to_numpy(), right["n"].to_numpy()
+        order = np.argsort(node)
+        node, sizes = node[order], sizes[order]
+        points = [unpacked(x.as_buffer()) for x in right["counts"].take(pa.array(order))]
+        name, own = left["list"].to_numpy(), np.searchsorted(node, left["node"].to_numpy())
+        order = np.lexsort((own, name))
+        name, own = name[order], own[order]
+        fresh = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
+        name, own = name[fresh], own[fresh]
+        cuts = np.append(np.flatnonzero(np.append(True, name[1:] != name[:-1])), len(name))
+        forest, ties = Forest(len(node)), []
+        for k in np.argsort(cuts[:-1] - cuts[1:], kind="stable").tolist():  # long lists first: their parts are then known
+            members = own[cuts[k] : cuts[k + 1]]
+            if len(members) == 2:
+                i, j = members.tolist()
+                if forest.find(i) != forest.find(j) and int(np.minimum(*folded([points[i], points[j]])).sum()) * (num + den) >= num * int(sizes[i] + sizes[j]):
+                    ties.append(forest.join(i, j))
+            elif len(set(map(forest.find, members.tolist()))) > 1:
+                tree = RTree(folded([points[i] for i in members]), sizes[members], num, den)
+                ties += connect(forest, members, tree)
+        ties = node[np.array(ties, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(np.ascontiguousarray(ties[:, 0])), "b": pa.array(np.ascontiguousarray(ties[:, 1]))})
+
+    wanted = lists.select(F.col("task").alias("to"), F.col("node").alias("set_id")).distinct()
+    sent = wanted.join(reps.select("set_id", "n", "counts"), "set_id").select("to", F.col("set_id").alias("node"), "n", "counts")
+    return lists.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(prune, "a long, b long").distinct()
+
+
+class Forest:
+    """Union-find over row numbers."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, a: int, b: int) -> tuple[int, int]:
+        x, y = self.find(a), self.find(b)
+        self.root[max(x, y)] = min(x, y)
+        return a, b
+
+
+def connect(forest: Forest, members: np.ndarray, tree: RTree, links=None) -> list[tuple[int, int]]:
+    """Join the members whose points the tree leaves possible (and ``links(i, j)`` confirms), never asking within a component.
+
+    A component grows by one member at a time against those outside, so a group of near copies takes
+    one pass and not a look at each pair. Gives the pairs that joined two components.
+    """
+    joined, rest = [], np.arange(len(members))
+    labels = np.array([forest.find(i) for i in members.tolist()])
+
+    def ask(x: int, others: np.ndarray) -> Iterator[int]:
+        for y in tree.near(x, others).tolist():
+            if links is None or links(x, y):
+                yield y
+
+    while len(rest) > 1:
+        mine = labels[rest] == labels[rest[0]]
+        frontier, rest = rest[mine], rest[~mine]
+        while len(frontier) and len(rest):
+            found = set()
+            if len(rest) < len(frontier):
+                for y in rest.tolist():
+                    if labels[y] not in found and (x := next(ask(y, frontier), None)) is not None:
+                        found.add(labels[y])
+                        joined.append(forest.join(int(members[x]), int(members[y])))
+                frontier = frontier[:0]
+            else:
+                x, frontier = int(frontier[0]), frontier[1:]
+                for y in ask(x, rest):
+                    if labels[y] not in found:
+                        found.add(labels[y])
+                        joined.append(forest.join(int(members[x]), int(members[y])))
+            moved = np.isin(labels[rest], list(found)) if found else np.zeros(len(rest), bool)
+            frontier, rest = np.concatenate([frontier, rest[moved]]), rest[~moved]
+    return joined
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,70 +364,59 @@ def components(edges: DataFrame) -> DataFrame:
 class RTree:
     """Points packed into leaves by recursive halving along the widest axis; a node keeps the maxima of its points."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes, self.leaves = points, sizes, []
-        self._split(np.arange(len(points)))
-        self.most = np.stack([points[x].max(0) for x in self.leaves])
-        self.least_size = np.array([sizes[x].min() for x in self.leaves])
-        self.most_size = np.array([sizes[x].max() for x in self.leaves])
-
-    def _split(self, rows: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int):
+        self.points, self.sizes, self.num, self.den = points, sizes, num, den
+        leaves: list[np.ndarray] = []
+        self._split(np.arange(len(points)), leaves)
+        self.leaf = np.empty(len(points), np.int64)
+        for k, rows in enumerate(leaves):
+            self.leaf[rows] = k
+        self.most = np.stack([points[x].max(0) for x in leaves])
+        self.least_size = np.array([sizes[x].min() for x in leaves])
+
+    def _split(self, rows: np.ndarray, leaves: list[np.ndarray]) -> None:
         if len(rows) <= LEAF:
-            self.leaves.append(rows)
+            leaves.append(rows)
             return
         own = self.points[rows]
         axis = int(np.argmax(own.max(0) - own.min(0)))
         rows = rows[np.argsort(own[:, axis], kind="stable")]
-        self._split(rows[: len(rows) // 2])
-        self._split(rows[len(rows) // 2 :])
-
-    def pairs(self, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """Rows whose bound allows a link: overlap <= summed minima, needed overlap >= num * (a + b) / (num + den)."""
-        for i, rows in enumerate(self.leaves):
-            bound = np.minimum(self.most[i], self.most[i:]).sum(1)
-            need = num * (self.least_size[i] + self.least_size[i:])
-            for j in i + np.flatnonzero((bound * (num + den) >= need) & (self.least_size[i] * num <= self.most_size[i:] * den) & (self.least_size[i:] * num <= self.most_size[i] * den)):
-                other = self.leaves[j]
-                bound_ij = np.minimum(self.points[rows][:, None], self.points[other][None]).sum(2)
-                fits = bound_ij * (num + den) >= num * (self.sizes[rows][:, None] + self.sizes[other][None])
-                for x, y in zip(*np.nonzero(fits), strict=True):
-                    a, b = int(rows[x]), int(other[y])
-                    if a < b or i != j:
-                        yield a, b
+        self._split(rows[: len(rows) // 2], leaves)
+        self._split(rows[len(rows) // 2 :], leaves)
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The others whose bound allows a link with x: overlap <= summed minima, needed overlap >= num * (a + b) / (num + den)."""
+        num, den = self.num, self.den
+        fits = np.minimum(self.points[x], self.most).sum(1) * (num + den) >= num * (self.sizes[x] + self.least_size)
+        others = others[fits[self.leaf[others]]]
+        others = others[(self.sizes[others] * num <= self.sizes[x] * den) & (self.sizes[x] * num <= self.sizes[others] * den)]
+        bound = np.minimum(self.points[x], self.points[others]).sum(1)
+        return others[bound * (num + den) >= num * (self.sizes[x] + self.sizes[others])]
 
 
 def links_in_bundle(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> np.ndarray:
     """The component of each set (a row number); known: labels of sets already known to be linked."""
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    forest = Forest(len(sets))
     if known is not None:
         seen: dict[int, int] = {}
         for i, label in enumerate(known.tolist()):
-            root[find(i)] = find(seen.setdefault(label, i))
+            forest.join(i, seen.setdefault(label, i))
     sizes = np.array([len(s) for s in sets])
     groups = groups_for(sizes.min())
-    points = np.stack([group_counts(s, groups) for s in sets])
-    for a, b in RTree(points, sizes).pairs(num, den):
-        x, y = find(a), find(b)
-        if x == y:
-            continue
-        p, q = (sets[a], sets[b]) if sizes[a] < sizes[b] else (sets[b], sets[a])
+
+    def links(x: int, y: int) -> bool:
+        p, q = (sets[x], sets[y]) if sizes[x] < sizes[y] else (sets[y], sets[x])
         at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-        common = int((q[at] == p).sum())
-        if common * (num + den) >= num * (len(p) + len(q)):
-            root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(len(sets))])
+        return int((q[at] == p).sum()) * (num + den) >= num * (len(p) + len(q))
+
+    tree = RTree(np.stack([group_counts(s, groups) for s in sets]), sizes, num, den)
+    connect(forest, np.arange(len(sets)), tree, links)
+    return np.array([forest.find(i) for i in range(len(sets))])
 
 
 def _row_key() -> Column:
     """Id and text of a row; null ids sort last. Rows with the same key are copies."""
-    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.unhex(F.left(F.sha2("text", 256), F.lit(32))).alias("text_hash"))
 
 
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -346,13 +427,13 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
 
 def _row_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``jaccard_components`` of docs(doc_id, text), where doc_id is a row key and never null."""
-    spark = docs.sparkSession
-    rows = checkpointed(set_rows(docs, words))
+    spark, hasher = docs.sparkSession, SpanHasher()
+    rows = checkpointed(set_rows(docs, words, hasher))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(fan_out(spark), int(total * 2.4 * (den - num) / num) // ENTRIES_PER_BUCKET + 1)
     reps = checkpointed(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts")))
     rows = rows.drop("counts")
-    ties = checkpointed(_ties(_lists(docs, words, num, den, buckets), reps, num, den, buckets))
+    ties = checkpointed(_ties(checkpointed(_lists(docs, words, num, den, buckets, hasher)), reps, num, den))
     reps = reps.drop("counts")
 
     bundles = components(ties)
@@ -362,11 +443,9 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     needed, large = placed.agg(F.coalesce(F.sum(F.col("shingles") / F.col("sets")), F.lit(0.0)), F.coalesce(F.max("large"), F.lit(False))).first()
 
     tasks = max(fan_out(spark), int(needed * 8) // BYTES_PER_TASK + 1)
-    found = _sets(docs, placed, words)
+    found = _sets(docs, placed, words, hasher)
+    found = checkpointed(found) if large else found
     small = found.where("NOT large") if large else found
-    if large:
-        found = checkpointed(found)
-        small = found.where("NOT large")
     roots = _joined(small.select(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.col("root").alias("bundle"), "node", F.col("node").alias("known"), "shingles"), num, den)
     if large:
         roots = roots.unionByName(_large(found.where("large"), ties, num, den))
@@ -378,14 +457,14 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     return rows.join(by_set, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, placed: DataFrame, words: int, hasher: SpanHasher) -> DataFrame:
     """The shingles of one document for each placed set."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = flat(batch.column("text"))
             for i, j, part, own in pieces(data, offsets):
-                sets, bounds = shingle_sets(part, own, words)
+                sets, bounds = shingle_sets(part, own, words, hasher)
                 columns = [batch.column(c).slice(i, j - i) for c in ("node", "root", "large")]
                 same = pa.array(set_ids(sets, bounds) == np.asarray(columns[0]))  # a repeated doc_id may have another text
                 out = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], names=["node", "root", "large", "shingles"])
@@ -422,11 +501,16 @@ def _large(found: DataFrame, ties: DataFrame, num: int, den: int) -> DataFrame:
     linked = checkpointed(ties.join(right, "b").join(left, "a").where(common).select("a", "b"))
     own = found.select("node", "root").join(components(linked).withColumnRenamed("root", "known"), "node", "left").select("node", "root", F.coalesce("known", "node").alias("known"))
     own = checkpointed(own)
-    open_bundles = own.groupBy("root").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count("*").alias("n")).where("low <> high").select("root", F.ceil(F.col("n") / TILE_SETS).alias("tiles"))
-    tiled = own.join(open_bundles, "root").select("node", "root", "known", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"))
-    ordered = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    dealt = tiled.select("node", "root", "known", F.explode(ordered).alias("pair"))
-    dealt = dealt.join(found.select("node", "shingles"), "node").select(F.xxhash64("root", "pair").alias("task"), F.col("root").alias("bundle"), "node", "known", "shingles")
+    # In a bundle that is not one component yet, only pairs with a set outside its largest component are open:
+    # blocks of such sets meet blocks of all sets.
+    sized = own.groupBy("root", "known").agg(F.count("*").alias("n"))
+    main = sized.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    tiled = own.join(main, "root").select("node", "root", "known", (F.col("known") != F.col("main")).alias("rest"), F.ceil((F.col("n") - F.col("most")) / REST_SETS).alias("rows"), F.ceil(F.col("n") / TILE_SETS).alias("columns"))
+    place = F.xxhash64("node")
+    all_rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.pmod(place, F.col("columns")).alias("j")))
+    all_columns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1), lambda j: F.struct(F.pmod(place, F.col("rows")).alias("i"), j.alias("j")))
+    dealt = tiled.select("node", "root", "known", F.explode(F.when(F.col("rest"), F.array_union(all_rows, all_columns)).otherwise(all_rows)).alias("tile"))
+    dealt = dealt.join(found.select("node", "shingles"), "node").select(F.xxhash64("root", "tile").alias("task"), F.col("root").alias("bundle"), "node", "known", "shingles")
     met = _joined(dealt, num, den).select(F.col("node").alias("a"), F.col("component").alias("b"))
     edges = met.unionByName(own.select(F.col("node").alias("a"), F.col("known").alias("b"))).distinct()
     return components(edges).select("node", F.col("root").alias("component"))

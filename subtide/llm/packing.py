@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import checkpointed, flat, lowered, pieces, prefix_sums, span_hashes, word_spans
+from subtide.llm.common import SpanHasher, checkpointed, flat, lowered, pieces, word_spans
 
 CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS = 4096, 1, 50_000, 1_000_000
 
@@ -37,6 +37,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.hasher = SpanHasher()  # of this process alone: hashes of words are never sent
         self._clear()
 
     def _clear(self) -> None:
@@ -77,7 +78,7 @@ class WordIds:
             data = lowered(data)
             raw = data.tobytes()
         starts, ends, first = _parts(data, *word_spans(data, offsets))
-        words, at, inverse = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        words, at, inverse = np.unique(self.hasher.spans(self.hasher.sums(data), starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > CACHED_WORDS:
             self._clear()
         place = np.searchsorted(self.hashes, words)

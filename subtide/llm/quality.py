@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import flat, lowered, pieces, prefix_sums, span_hashes, word_spans
+from subtide.llm.common import flat, lowered, pieces, rolling_hashes, rolling_sums, word_spans
 
 FIT_ROWS, BUCKETS, LEAST_DOCS, STEPS = 12_000, 1 << 17, 6, 250
 DENSE = 9
@@ -31,9 +31,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(offsets) - 1
     counts = np.diff(first)
     owner = np.repeat(np.arange(n), counts)
-    sums = prefix_sums(low)
-    word = span_hashes(sums, starts, ends)
-    tail = span_hashes(sums, np.maximum(starts, ends - 3), ends) ^ np.uint64(0x5851F42D4C957F2D)
+    sums = rolling_sums(low)
+    word = rolling_hashes(sums, starts, ends)
+    tail = rolling_hashes(sums, np.maximum(starts, ends - 3), ends) ^ np.uint64(0x5851F42D4C957F2D)
     keys = np.concatenate([owner, owner]).astype(np.uint64) << np.uint64(20) | np.concatenate([word, tail]) % np.uint64(BUCKETS)
     keys = np.unique(keys)
     size = np.maximum(counts, 1).astype(float)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import checkpointed, fan_out, flat, mix, pieces, prefix_sums, span_hashes
+from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, mix, pieces, rolling_hashes, rolling_sums
 
 LENGTH, SEED, HOT_CHUNKS, LONGEST_RUN, CHUNK_BYTES = 50, 24, 64, 1024, 4 << 20
 
@@ -155,7 +155,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
     starts = np.arange(len(data) - SEED + 1)
-    low = span_hashes(prefix_sums(data), starts, starts + SEED)
+    low = rolling_hashes(rolling_sums(data), starts, starts + SEED)
     size = 1
     while 2 * size <= width:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
@@ -197,7 +197,7 @@ def _blob_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray,
 
 def mark_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) of the removed bytes of each text."""
-    spark = docs.sparkSession
+    spark, hasher = docs.sparkSession, SpanHasher()
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = checkpointed(docs.groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.min("doc_id").alias("rep"), F.first(F.octet_length("text")).alias("n_bytes")).where("rep IS NOT NULL").select("rep", "n_bytes"))
     total = firsts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -261,7 +261,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             row = np.concatenate([row[~hot], np.repeat(row[hot], n)])
             start = np.concatenate([first[~hot], single])
             stop = np.concatenate([last[~hot], single]) + LENGTH
-            content = span_hashes(prefix_sums(part), start, stop)
+            content = hasher.spans(hasher.sums(part), start, stop)
             route = np.concatenate([mix(low[~hot]), content[len(low) - int(hot.sum()) :]])
             kind = np.concatenate([np.zeros(int((~hot).sum()), np.int64), np.ones(len(single), np.int64)])
             found.append((content, route, names[i + row], start - own[row], stop - start, start + offsets[i], kind))

@@ -63,6 +63,8 @@ def brute_components(texts, words, num, den):
 def test_ngram_join(spark, monkeypatch, words, num, den, most):
     monkeypatch.setattr(ngram_join, "BUNDLE_SETS", most)
     monkeypatch.setattr(ngram_join, "TILE_SETS", 8)
+    monkeypatch.setattr(ngram_join, "REST_SETS", 4)
+    monkeypatch.setattr(ngram_join, "LIST_SETS", most)
     got = ngram_join.jaccard_components(docs_of(spark, TEXTS), words, num, den).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == dict(enumerate(brute_components(TEXTS, words, num, den)))
 
