@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Space and the control characters 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +114,7 @@ class SpanHasher:
         """For each base its powers and those of its inverse; kept for the process."""
         found = _tables.get(self.bases)
         if found is None or len(found[0][0]) < n:
-            if len(_tables) > 4:
+            if len(_tables) > 1:
                 _tables.clear()
             n = max(n, PIECE_BYTES + 1024)
             found = _tables[self.bases] = [(_powers_of(b, n), _powers_of(pow(b, -1, PRIME), n)) for b in self.bases]

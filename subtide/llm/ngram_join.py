@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, lowered, mix, pieces, tabled, word_spans
 
-ENTRIES_PER_BUCKET, LIST_SETS, BUNDLE_SETS, TILE_SETS, REST_SETS, BYTES_PER_TASK, SPREAD = 1_000_000, 4096, 256, 256, 64, 16 << 20, 4
+ENTRIES_PER_BUCKET, LIST_SETS, BUNDLE_SETS, TILE_SETS, REST_SETS, BYTES_PER_TASK, SPREAD = 1_000_000, 4096, 256, 256, 64, 16 << 20, 16
 GROUPS, LEAF = 64, 16
 _C = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 

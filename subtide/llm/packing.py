@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm.common import SpanHasher, checkpointed, flat, lowered, pieces, word_spans
 
-CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS = 4096, 1, 50_000, 1_000_000
+CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS = 4096, 1, 50_000, 400_000
 
 
 class WordIds:
