@@ -13,9 +13,13 @@ items are sent. A minimizer that occurs in very many chunks is dealt by the hash
 window instead, so that a common passage does not gather in one task. Equal items are sent once per
 chunk and indexed once.
 
-Exact copies are decided by the hash of the whole text. Defined results: null is empty; texts shorter
-than ``LENGTH`` lose nothing; matches never cross documents; rows that repeat an id do not remove each
-other.
+Exact copies are decided by the SHA-256 of the whole text, equal items by a hash whose bases are drawn for
+each run (``SpanHasher``). The index holds a sample per run of the transform; the distinct items' bytes stay
+beside it, for the extensions at sampled run ends.
+
+Defined results: null is empty; texts shorter than ``LENGTH`` lose nothing; matches never cross documents;
+a row is known by its id and text, and rows that repeat an id, with equal or different texts, do not
+remove each other; rows without id lose nothing and remove nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +90,7 @@ class RunLengthIndex:
         second = early[np.minimum(sa + rest, n - 1)]
         same = whole[1:] & whole[:-1] & (early[sa[1:]] == early[sa[:-1]]) & (second[1:] == second[:-1])
         head = np.append(True, ~same)
-        self.group = np.cumsum(head) - 1
+        self.group = (np.cumsum(head) - 1).astype(np.int32)
         self.least_doc = np.minimum.reduceat(docs[item[sa]], np.flatnonzero(head))
         bwt = text[sa - 1]
         self.starts = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
@@ -177,10 +181,20 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return low[first], owner[first], inside[first], inside[last]
 
 
-def _chosen(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of a chunk that are the first with their text."""
-    mine = pa.array(right["rep"].drop_null() if isinstance(right["rep"], pa.Array) else right["rep"].combine_chunks().drop_null())
-    return left.filter(pa.compute.is_in(left["doc_id"], value_set=mine))
+def _chosen(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The documents of a chunk that are the first with their text, once each, and their ties."""
+    ties = _ties(right)
+    seen: dict[tuple[int, int], int] = {}
+    for i, name in enumerate(zip(left["doc_id"].to_pylist(), left["key"].to_pylist(), strict=True)):
+        if name in ties:
+            seen.setdefault(name, i)
+    return left.take(pa.array(list(seen.values()), pa.int64())), np.array([ties[x] for x in seen], np.int64)
+
+
+def _ties(right: pa.Table) -> dict[tuple[int, int], int]:
+    """Id and text key of the first documents, each with a number that tells texts of one id apart."""
+    own = right.filter(pa.compute.is_valid(right["rep"])) if right.num_rows else right
+    return {(rep, key): tie for rep, key, tie in zip(own["rep"].to_pylist(), own["key"].to_pylist(), own["tie"].to_pylist(), strict=True)}
 
 
 def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,19 +212,29 @@ def _blob_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray,
 def mark_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) of the removed bytes of each text."""
     spark, hasher = docs.sparkSession, SpanHasher()
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    firsts = checkpointed(docs.groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.min("doc_id").alias("rep"), F.first(F.octet_length("text")).alias("n_bytes")).where("rep IS NOT NULL").select("rep", "n_bytes"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.sha2("text", 256)
+    docs = docs.select("doc_id", "text", F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long").alias("key"))
+    firsts = docs.groupBy(digest.alias("text_sha")).agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first(F.octet_length("text")).alias("n_bytes")).where("rep IS NOT NULL")
+    firsts = checkpointed(firsts.select("rep", "key", "n_bytes"))
     total = firsts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     chunks = max(fan_out(spark), total // CHUNK_BYTES + 1)
+    lowest = firsts.groupBy(F.col("rep").alias("id")).agg(F.min("key").alias("lowest"))
+    firsts = firsts.join(lowest, F.col("rep") == F.col("id")).select("rep", "key", F.when(F.col("key") == F.col("lowest"), F.lit(0)).otherwise(F.col("key")).cast("long").alias("tie"))
 
     def chunk(column: str):
-        return F.pmod(F.xxhash64(column), F.lit(chunks))
+        return F.pmod(F.xxhash64(column, "key"), F.lit(chunks))
+
+    dealt = docs.select(chunk("doc_id").alias("chunk"), "doc_id", "key", "text").repartition(int(chunks), "chunk").groupBy("chunk")
+    reps = firsts.select(chunk("rep").alias("chunk"), "rep", "key", "tie", F.lit(None).cast("binary").alias("blob"))
 
-    dealt = docs.select(chunk("doc_id").alias("chunk"), "doc_id", "text").repartition(int(chunks), "chunk").groupBy("chunk")
-    reps = firsts.select(chunk("rep").alias("chunk"), "rep", F.lit(None).cast("binary").alias("blob"))
+    def returned(keys: np.ndarray, blobs: list[bytes]) -> pa.Table:
+        """Rows that go back to their chunks, beside those of ``reps``."""
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.table({"chunk": pa.array(keys, pa.int64()), "rep": none, "key": none, "tie": none, "blob": pa.array(blobs, pa.binary())})
 
     def minimizers(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _chosen(left, right)
+        left, _ = _chosen(left, right)
         names, found = left["doc_id"].to_numpy(), []
         data, offsets = _bytes(left["text"])
         for i, _, part, own in pieces(data, offsets):
@@ -240,10 +264,10 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
         kept = (several | (count > 1))[group]
         low = low >> np.uint64(1) << np.uint64(1) | (count >= HOT_CHUNKS)[group].astype(np.uint64)
         keys, (groups,) = _blob_rows(table["chunk"].to_numpy()[source[kept]], [low[kept]])
-        return pa.table({"chunk": pa.array(keys, pa.int64()), "rep": pa.nulls(len(keys), pa.int64()), "blob": pa.array([g.tobytes() for g in groups], pa.binary())})
+        return returned(keys, [g.tobytes() for g in groups])
 
     def items(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _chosen(left, right)
+        left, ties = _chosen(left, right)
         blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in right["blob"] if x.is_valid]
         wanted = np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
         names = left["doc_id"].to_numpy()
@@ -264,32 +288,33 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             content = hasher.spans(hasher.sums(part), start, stop)
             route = np.concatenate([mix(low[~hot]), content[len(low) - int(hot.sum()) :]])
             kind = np.concatenate([np.zeros(int((~hot).sum()), np.int64), np.ones(len(single), np.int64)])
-            found.append((content, route, names[i + row], start - own[row], stop - start, start + offsets[i], kind))
+            found.append((content, route, names[i + row], ties[i + row], start - own[row], stop - start, start + offsets[i], kind))
         if not found:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "rows": pa.array([], pa.binary()), "text": pa.array([], pa.binary())})
-        content, route, doc, start, size, source, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+        content, route, doc, tie, start, size, source, kind = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((doc, content))
-        content, route, doc, start, size, source, kind = (x[order] for x in (content, route, doc, start, size, source, kind))
+        content, route, doc, tie, start, size, source, kind = (x[order] for x in (content, route, doc, tie, start, size, source, kind))
         head = np.append(True, content[1:] != content[:-1]) if len(content) else np.zeros(0, bool)
         least = doc[head][np.cumsum(head) - 1] if len(doc) else doc
         kind[doc != least] = 2  # decided here: a smaller document of this chunk has the same item
         route[kind == 2] = mix(np.flatnonzero(kind == 2).astype(np.uint64))
-        table = np.stack([doc, start, size, kind, content.view(np.int64), source], 1)
+        table = np.stack([doc, tie, start, size, kind, content.view(np.int64), source], 1)
         keys, (groups,) = _blob_rows((route % np.uint64(chunks)).astype(np.int64), [table])
         raw, squeeze = data.tobytes(), zstandard.ZstdCompressor(level=1)
-        texts = [squeeze.compress(b"".join(raw[s : s + z] for s, z in zip(g[g[:, 3] < 1, 5].tolist(), g[g[:, 3] < 1, 2].tolist(), strict=True))) for g in groups]
+        texts = [squeeze.compress(b"".join(raw[s : s + z] for s, z in zip(g[g[:, 4] < 1, 6].tolist(), g[g[:, 4] < 1, 3].tolist(), strict=True))) for g in groups]
         own = left["chunk"][0].as_py()
-        rows = [squeeze.compress(np.ascontiguousarray(g[:, :5].T).tobytes()) for g in groups]
+        rows = [squeeze.compress(np.ascontiguousarray(g[:, :6].T).tobytes()) for g in groups]
         return pa.table({"bucket": pa.array(keys, pa.int64()), "chunk": pa.array([own] * len(keys), pa.int64()), "rows": pa.array(rows, pa.binary()), "text": pa.array(texts, pa.binary())})
 
     def matched(table: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
-        rows = [np.frombuffer(open_.decompress(x.as_py()), np.int64).reshape(5, -1) for x in table["rows"]]
+        rows = [np.frombuffer(open_.decompress(x.as_py()), np.int64).reshape(6, -1) for x in table["rows"]]
         source = np.repeat(table["chunk"].to_numpy(), [r.shape[1] for r in rows])
-        doc, start, size, kind, content = np.concatenate(rows, 1)
+        doc, tie, start, size, kind, content = np.concatenate(rows, 1)
         text = np.frombuffer(b"".join(open_.decompress(x.as_py()) for x in table["text"]), np.uint8)
         at = np.cumsum(np.where(kind < 1, size, 0)) - np.where(kind < 1, size, 0)  # of the items whose text was sent
-        marks = [np.stack([source, doc, start, start + size], 1)[kind == 2]]
+        whole = np.stack([source, doc, tie, start, start + size], 1)
+        marks = [whole[kind == 2]]
         for own in (np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)):
             own = own[np.lexsort((doc[own], content[own]))]
             if not len(own):
@@ -297,7 +322,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             head = np.append(True, content[own][1:] != content[own][:-1])
             group = np.cumsum(head) - 1
             later = doc[own] != doc[own][head][group]
-            marks.append(np.stack([source, doc, start, start + size], 1)[own[later]])
+            marks.append(whole[own[later]])
         if (kind == 0).any():
             distinct = own[head]
             sizes = size[distinct]
@@ -312,31 +337,31 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             place = np.repeat(own, n)
             pick = np.repeat(left_, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             first = start[place] + where[pick]
-            marks.append(np.stack([source[place], doc[place], first, first + LENGTH], 1))
+            marks.append(np.stack([source[place], doc[place], tie[place], first, first + LENGTH], 1))
         marks = np.concatenate(marks)
-        marks = marks[np.lexsort((marks[:, 2], marks[:, 1]))]
         keys, (groups,) = _blob_rows(marks[:, 0], [marks[:, 1:]])
         squeeze = zstandard.ZstdCompressor(level=1)
-        return pa.table({"chunk": pa.array(keys, pa.int64()), "rep": pa.nulls(len(keys), pa.int64()), "blob": pa.array([squeeze.compress(np.ascontiguousarray(_merged(g).T).tobytes()) for g in groups], pa.binary())})
+        return returned(keys, [squeeze.compress(np.ascontiguousarray(_merged(g).T).tobytes()) for g in groups])
 
     def result(left: pa.Table, right: pa.Table) -> pa.Table:
-        mine = set(right["rep"].drop_null().to_pylist()) if right.num_rows else set()
+        ties = _ties(right)
         open_ = zstandard.ZstdDecompressor()
-        marks = [np.frombuffer(open_.decompress(x.as_py()), np.int64).reshape(3, -1).T for x in right["blob"] if x.is_valid]
-        marks = np.concatenate(marks) if marks else np.zeros((0, 3), np.int64)
-        marks = _merged(marks[np.lexsort((marks[:, 1], marks[:, 0]))])
-        names = left["doc_id"].to_pylist()
+        marks = [np.frombuffer(open_.decompress(x.as_py()), np.int64).reshape(4, -1).T for x in right["blob"] if x.is_valid]
+        marks = _merged(np.concatenate(marks) if marks else np.zeros((0, 4), np.int64))
+        cuts = np.append(np.flatnonzero(np.append(True, (marks[1:, :2] != marks[:-1, :2]).any(1))), len(marks)) if len(marks) else np.zeros(1, np.int64)
+        places = {tuple(marks[a, :2].tolist()): (a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        names, text_keys = left["doc_id"].to_pylist(), left["key"].to_pylist()
         data, offsets = _bytes(left["text"])
         view, out = memoryview(data.tobytes()), []
         for i, name in enumerate(names):
             own = view[offsets[i] : offsets[i + 1]]
             if name is None:
                 spans = []
-            elif name not in mine:  # a copy of a smaller document
+            elif (name, text_keys[i]) not in ties:  # a copy of a smaller document
                 spans = [(0, len(own))] if len(own) >= LENGTH else []
             else:
-                a, b = np.searchsorted(marks[:, 0], [name, name + 1])
-                spans = [(s, min(e, len(own))) for s, e in marks[a:b, 1:].tolist() if s < len(own)]
+                a, b = places.get((name, ties[name, text_keys[i]]), (0, 0))
+                spans = [(s, e) for s, e in marks[a:b, 2:].tolist()]
             digest, at = hashlib.sha256(), 0
             for s, e in spans:
                 digest.update(own[at:s])
@@ -347,24 +372,26 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
+    back = "chunk long, rep long, key long, tie long, blob binary"
     sent = dealt.cogroup(reps.groupBy("chunk")).applyInArrow(minimizers, "bucket long, chunk long, blob binary")
-    common = sent.groupBy("bucket").applyInArrow(shared, "chunk long, rep long, blob binary")
+    common = sent.groupBy("bucket").applyInArrow(shared, back)
     cut = dealt.cogroup(reps.unionByName(common).groupBy("chunk")).applyInArrow(items, "bucket long, chunk long, rows binary, text binary")
-    marks = cut.groupBy("bucket").applyInArrow(matched, "chunk long, rep long, blob binary")
+    marks = cut.groupBy("bucket").applyInArrow(matched, back)
     return dealt.cogroup(reps.unionByName(marks).groupBy("chunk")).applyInArrow(result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def _merged(marks: np.ndarray) -> np.ndarray:
-    """Rows (document, start, end), sorted, with touching or overlapping spans of a document joined."""
+    """Rows (document, tie, start, end) in order, with touching or overlapping spans of a document joined."""
     if not len(marks):
         return marks
-    shift = marks[:, 2].max() + 2
-    rank = np.cumsum(np.append(0, marks[1:, 0] != marks[:-1, 0])) * shift
-    reach = np.maximum.accumulate(marks[:, 2] + rank)
-    head = np.append(True, marks[1:, 1] + rank[1:] > reach[:-1])
+    marks = marks[np.lexsort((marks[:, 2], marks[:, 1], marks[:, 0]))]
+    shift = marks[:, 3].max() + 2
+    rank = np.cumsum(np.append(0, (marks[1:, :2] != marks[:-1, :2]).any(1))) * shift
+    reach = np.maximum.accumulate(marks[:, 3] + rank)
+    head = np.append(True, marks[1:, 2] + rank[1:] > reach[:-1])
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(marks)) - 1
-    return np.stack([marks[first, 0], marks[first, 1], reach[last] - rank[last]], 1)
+    return np.stack([marks[first, 0], marks[first, 1], marks[first, 2], reach[last] - rank[last]], 1)
 
 
 def op10_suffix_dedup(spark, sf_dir) -> DataFrame:

@@ -1,8 +1,10 @@
 """Rows without an id or with a repeated one in the n-gram join."""
 
+import hashlib
+
 import numpy as np
 
-from subtide.llm import ngram_join
+from subtide.llm import ngram_join, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string"
 A, B, C = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "uno dos tres cuatro cinco seis siete")
@@ -35,3 +37,31 @@ def test_nested_sets_of_unlike_sizes(spark):
     for a in range(1, 400):
         low, high = bands.of(np.array([a, 2 * a]))
         assert high - low <= 1 and 2 * a < bands.low[low + 2]
+
+
+def brute_repeats(rows):
+    """Removed bytes of each row: covered by a 50-byte string that also starts in a row with a smaller id."""
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49) if i is not None else ():
+            first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49) if i is not None else ():
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        out.append((i, len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeats_by_row(spark):
+    """Unrelated texts under one id, repeated rows, rows without id, empty and very long texts."""
+    rng = np.random.default_rng(2)
+    a, u, v = (" ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, 40)) for _ in range(3))
+    long = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 60_000))
+    rows = [(1, a), (5, a), (5, u), (5, u), (6, u[:120] + v), (None, v), (None, a), (None, None), (7, None), (7, ""), (7, v), (7, a + v), (8, long), (9, "x" + long[300_000:300_400] + "y"), (9, long), (-3, v[:60])]
+    got = suffix_dedup.mark_repeats(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, key string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
