@@ -518,12 +518,12 @@ def _large(found: DataFrame, ties: DataFrame, num: int, den: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id (null last), then text hash; copies of an id and text are one row."""
-    keyed = docs.select("*", _row_key().alias("row_key"))
-    found = _row_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), words, num, den)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("row_key")).distinct()
-    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))
-    rows = keyed.join(kept, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"), F.min(others).alias("others"))
-    return rows.select(*[F.col("row_key.id").alias(c) if c == "doc_id" else F.col(c) if c == "text" else F.col(f"others.{c}") for c in docs.columns])
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.select(_row_key().alias("key"), "text", F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], F.lit(0).alias("none")).alias("others"))
+    found = _row_components(keyed.select(F.col("key").alias("doc_id"), "text"), words, num, den)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    rows = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.min("others").alias("others"))
+    return rows.select(*[F.col("key.id" if c == "doc_id" else "text" if c == "text" else f"others.c{names.index(c)}").alias(c) for c in docs.columns])
 
 
 def op9_ngram_join(spark, sf_dir) -> DataFrame:

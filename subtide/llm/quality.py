@@ -6,7 +6,8 @@ The model is fitted on at most ``FIT_ROWS`` labelled documents, those with the s
 id; everything is scored. Scores are the expected grade and the tail probabilities.
 
 Defined results: a null text is empty and has only the bias; unlabelled documents are scored alike;
-with fewer than two grades among the labels, every document is kept with that grade.
+with one grade among the labels, every document is kept with that grade, with none with grade 0. ``score``
+replaces columns named like its own; ``kept`` adds none. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from subtide.llm.common import flat, lowered, pieces, rolling_hashes, rolling_su
 
 FIT_ROWS, BUCKETS, LEAST_DOCS, STEPS = 12_000, 1 << 17, 6, 250
 DENSE = 9
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"')", np.uint8))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,8 +35,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(n), counts)
     sums = rolling_sums(low)
     word = rolling_hashes(sums, starts, ends)
-    tail = rolling_hashes(sums, np.maximum(starts, ends - 3), ends) ^ np.uint64(0x5851F42D4C957F2D)
-    keys = np.concatenate([owner, owner]).astype(np.uint64) << np.uint64(20) | np.concatenate([word, tail]) % np.uint64(BUCKETS)
+    bare = ends.copy()  # without marks after the word
+    for _ in range(3):
+        bare -= (bare > starts + 1) & _MARK[low[bare - 1]]
+    tail = rolling_hashes(sums, np.maximum(starts, bare - 3), bare) ^ np.uint64(0x5851F42D4C957F2D)
+    keys = np.concatenate([owner, owner]).astype(np.uint64) << np.uint64(20) | np.concatenate([rolling_hashes(sums, starts, bare), tail]) % np.uint64(BUCKETS)
     keys = np.unique(keys)
     size = np.maximum(counts, 1).astype(float)
     per = lambda mask: np.bincount(owner, mask, n) / size
@@ -43,7 +48,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     two = np.zeros(len(word), bool)
     two[2:] = (word[2:] == word[:-2]) & (owner[2:] == owner[:-2])
     last = low[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    symbol = ~(((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57)) | (last >= 128) | np.isin(last, np.frombuffer(b".,;:!?\"')", np.uint8)))
+    symbol = ~(((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57)) | (last >= 128) | _MARK[last])
     distinct = np.bincount(np.unique(owner.astype(np.uint64) << np.uint64(40) | word >> np.uint64(24)).astype(np.uint64) >> np.uint64(40), minlength=n)[:n] / size
     lengths = (ends - starts).astype(float)
     dense = np.stack([per(same), per(two), per(symbol), per(lengths == 1), distinct, per(lengths) / 10, np.minimum(per(lengths > 20) * 5, 1), np.log1p(counts) / 10, np.bincount(owner, low[starts] == 124 if len(starts) else None, n) / size], 1)
@@ -103,8 +108,8 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(quality < 1, 0).when(toxic > 0, 1).otherwise(2)).alias("grade"))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Ordinal | None:
-    """A model of the ratings(doc_id, grade), from at most ``rows`` documents; None with fewer than two grades."""
+def fit(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Ordinal | int:
+    """A model of the ratings(doc_id, grade), from at most ``rows`` documents; the grade itself where there are fewer than two."""
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,30 +125,48 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Ordinal |
     got = found.mapInArrow(batches, "grade int, buckets array<int>, dense array<double>").toArrow()
     grade = got["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grade)) < 2:
-        return None
+        return int(grade.max(initial=0))
     buckets = got["buckets"].combine_chunks()
     owner = np.repeat(np.arange(len(grade)), np.asarray(buckets.value_lengths()))
     dense = np.asarray(got["dense"].combine_chunks().flatten()).reshape(-1, DENSE)
     return Ordinal().fit(owner, np.asarray(buckets.flatten()).astype(np.int64), dense, grade)
 
 
-def score(docs: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Ordinal | int, text: str = "text") -> DataFrame:
     """``docs`` with expected_grade, p_top (of the highest grade), p_above_low and keep; those columns are replaced."""
     added = ["expected_grade", "p_top", "p_above_low", "keep"]
-    kept = [c for c in docs.columns if c not in added]
-    if model is None:
-        return docs.select(*kept, F.lit(0.0).alias("expected_grade"), F.lit(1.0).alias("p_top"), F.lit(1.0).alias("p_above_low"), F.lit(True).alias("keep"))
+    names = [c for c in docs.columns if c not in added]
+    if isinstance(model, int):
+        return docs.select(*names, F.lit(float(model)).alias("expected_grade"), F.lit(1.0).alias("p_top"), F.lit(1.0).alias("p_above_low"), F.lit(True).alias("keep"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, offsets = flat(batch.column(0))
-            for i, j, part, own in pieces(data, offsets):
-                tails = model.tails(*features(part, own))
+            for i, j, tails in _tails(model, batch.column(0)):
                 columns = [tails.sum(0), tails[-1], tails[0], tails[-1] >= 0.5]
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[1:]], *map(pa.array, columns)], names=[*kept, *added])
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[1:]], *map(pa.array, columns)], names=[*names, *added])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(docs[text], *[docs[c] for c in names]).mapInArrow(batches, f"{fields}, expected_grade double, p_top double, p_above_low double, keep boolean")
+
+
+def kept(docs: DataFrame, model: Ordinal | int, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose top grade is at least as likely as not."""
+    if isinstance(model, int):
+        return docs
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, j, tails in _tails(model, batch.column(place)):
+                yield batch.slice(i, j - i).filter(pa.array(tails[-1] >= 0.5))
+
+    place = docs.columns.index(text)
+    return docs.mapInArrow(batches, docs.schema)
+
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(docs[text].alias("__text"), *kept).mapInArrow(batches, f"{fields}, expected_grade double, p_top double, p_above_low double, keep boolean")
+def _tails(model: Ordinal, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    data, offsets = flat(texts)
+    for i, j, part, own in pieces(data, offsets):
+        yield i, j, model.tails(*features(part, own))
 
 
 def op7_quality(spark, sf_dir) -> DataFrame:

@@ -118,8 +118,9 @@ def planted_findings(docs: DataFrame, tables: tuple[Column, Column], rows: int =
     kinds = [
         (1.0, "token = \"", F.sha1(F.concat(h, F.lit("a"))), "\""), (1.0, "TOKEN = \"", upper_hex, "\""), (1.0, "api_key: ", cut(letters, 1, 32), ""), (1.0, "password=", cut(letters, 5, 20), ""), (1.0, "Authorization: Bearer ", code, ""),
         (1.0, "aws ", F.concat(F.lit("AKIA"), F.upper(cut(letters, 3, 16))), ""), (1.0, "", F.concat(F.lit("ghp_"), cut(letters, 1, 36)), ""), (1.0, "secret '", h, "'"),
+        (1.0, "password=", cut(h, 1, 18), ""), (1.0, "", F.concat(F.lit("AKIA"), number), ""),
         (0.0, "", long_word, ""), (0.0, "token = \"", long_word, "\""), (0.0, "", number, ""), (0.0, "token ", number, ""), (0.0, "commit ", F.sha1(F.concat(h, F.lit("c"))), ""), (0.0, "sha256 = \"", F.sha2(F.concat(h, F.lit("d")), 256), "\""),
-        (0.0, "id: \"", F.concat_ws("-", cut(h, 1, 8), cut(h, 9, 4), cut(h, 13, 4), cut(h, 17, 4), cut(h, 21, 12)), "\""), (0.0, "/", F.array_join(parts, "/"), ".html"), (0.0, "auth = ", F.array_join(parts, "_"), "()"), (0.0, "", F.array_join(parts, "-"), ""),
+        (0.0, "id: \"", F.concat_ws("-", cut(h, 1, 8), cut(h, 9, 4), cut(h, 13, 4), cut(h, 17, 4), cut(h, 21, 12)), "\""), (0.0, "href ", F.array_join(parts, "/"), ".html"), (0.0, "auth = ", F.array_join(parts, "_"), "()"), (0.0, "", F.array_join(parts, "-"), ""),
     ]
     made = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(head).alias("head"), value.alias("value"), F.lit(tail).alias("tail")) for label, head, value, tail in kinds])
     made = own.select("doc_id", "source", "before", "after", F.posexplode(made).alias("kind", "f"))

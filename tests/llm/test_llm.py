@@ -158,7 +158,7 @@ def test_secrets(spark):
     texts = [f"{b} password={'%018x' % (i * 7919 + 10**18)} and more {'ab' * 12}" for i, b in enumerate(BASE)] + [f"{b} AKIA{'%016d' % (i * 7 + 3)}" for i, b in enumerate(BASE)]
     frame = docs_of(spark, [*texts, None, "clean words only"])
     found = secrets.scan_documents(frame).collect()
-    assert {r.doc_id for r in found if r.is_secret} == set(range(60)) and not any(r.is_secret for r in found if r.letters)
+    assert {r.doc_id for r in found if r.is_secret} == set(range(60)) and not any(r.is_secret for r in found if r.digits == 0)
     clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert clean[60] is None and clean[61] == "clean words only" and all("[SECRET]" in clean[i] and "password=1" not in clean[i] for i in range(30)) and "ab" * 12 in clean[0]
 
@@ -174,11 +174,3 @@ def test_chat_blocks_agree(spark):
     truth = {(r.conv_id, r.line_no): r.role for r in lines.collect()}
     got = {(r.conv_id, r.line_no): r.role for r in chat.decode(lines, model, 40).collect()}
     assert np.mean([got[k] == v for k, v in truth.items()]) > 0.95
-
-
-def test_pipeline_columns(spark):
-    import corpus_pipeline
-
-    documents = docs_of(spark, TEXTS)
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        assert stage(spark, documents, None).columns == documents.columns
