@@ -13,7 +13,7 @@ from subtide.llm import mixing, ngram_join, packing, quality, secrets
 def quality_stage(spark, docs, sf_dir) -> DataFrame:
     """Documents that the classifier does not reject: the top grade is at least as likely as not."""
     model = quality.fit(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.score(docs, model).where("keep").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def near_duplicate_stage(spark, docs, sf_dir) -> DataFrame:
@@ -27,11 +27,8 @@ def secret_stage(spark, docs, sf_dir) -> DataFrame:
 
 
 def mixing_stage(spark, docs, sf_dir) -> DataFrame:
-    """Each document as often as the mix takes any of its words: never, once or twice (a second pass)."""
-    taken = mixing.mix_sources(docs)
-    copies = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken_id")
-    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).select(*docs.columns)
+    """Each document as often as the mix takes any of its words, never, once or twice (a second pass), in the order of the schedule."""
+    return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark, docs, sf_dir) -> DataFrame:
@@ -46,7 +43,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: The first and the last stage cannot be said in SQL; tests/llm compares the run with a brute-force version.
+#: A fitted classifier and a packing have no SQL; tests/llm/test_pipeline.py compares each stage and the run with plain Python.
 ORACLE_SQL = None
 
 
