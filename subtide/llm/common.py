@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import re
 import secrets
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def lean(f: Callable) -> Callable:
+    """``f``, a function of Arrow tables or of an iterator of batches, that hands unused memory back to the system when it ends.
+
+    Python workers live on between tasks; what one task had at its peak would stay with each of them.
+    """
+
+    def over(it):
+        try:
+            yield from f(it)
+        finally:
+            _hand_back()
+
+    def of(*tables):
+        try:
+            return f(*tables)
+        finally:
+            _hand_back()
+
+    return over if inspect.isgeneratorfunction(f) else functools.wraps(f)(of)
+
+
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc
+        trim(0)
+
+
 def fan_out(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

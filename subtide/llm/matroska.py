@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subtide.llm.common import lean
+
 ALIGN, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER, RATE = 64, 1024, 8, 8, 8000
 
 # Element ids of the Matroska format.
@@ -207,7 +209,7 @@ def store(df: DataFrame, column: str, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.binary())], names=[*kept, media])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(df[column].alias("__payload"), *kept).mapInArrow(batches, f"{fields}, `{media}` binary")
+    return df.select(df[column].alias("__payload"), *kept).mapInArrow(lean(batches), f"{fields}, `{media}` binary")
 
 
 def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
@@ -223,7 +225,7 @@ def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([p[2] for p in parsed], pa.string())], names=[*kept, *added])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(*kept).mapInArrow(batches, f"{fields}, packets {PACKETS_DDL}, cues {CUES_DDL}, error string")
+    return df.select(*kept).mapInArrow(lean(batches), f"{fields}, packets {PACKETS_DDL}, cues {CUES_DDL}, error string")
 
 
 def payload_digests(df: DataFrame, media: str = "media") -> DataFrame:
@@ -252,7 +254,7 @@ def payload_digests(df: DataFrame, media: str = "media") -> DataFrame:
     target = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_packets", pa.int32()), ("n_cues", pa.int32()), ("feature", pa.string())])
     names = target.names
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
-    return df.select(*kept, media, "packets", "cues").mapInArrow(batches, fields + schema)
+    return df.select(*kept, media, "packets", "cues").mapInArrow(lean(batches), fields + schema)
 
 
 def feature(payload: bytes) -> str:

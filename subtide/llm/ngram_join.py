@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, lowered, mix, pieces, tabled, word_spans
+from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, lean, lowered, mix, pieces, tabled, word_spans
 
 ENTRIES_PER_BUCKET, LIST_SETS, BUNDLE_SETS, TILE_SETS, REST_SETS, BYTES_PER_TASK, SPREAD = 1_000_000, 4096, 256, 256, 64, 16 << 20, 16
 GROUPS, LEAF = 64, 16
@@ -202,7 +202,7 @@ def set_rows(docs: DataFrame, words: int, hasher: SpanHasher) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(set_ids(sets, bounds), mask=n == 0), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_shingles long, set_id long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(batches), f"doc_id {kind}, n_shingles long, set_id long, counts binary")
 
 
 def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int, hasher: SpanHasher) -> DataFrame:
@@ -255,8 +255,8 @@ def _lists(docs: DataFrame, words: int, num: int, den: int, buckets: int, hasher
         columns = (np.concatenate(x) for x in (tasks, names, nodes))
         return pa.table({c: pa.array(x.view(np.int64)) for c, x in zip(("task", "list", "node"), columns, strict=True)})
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, entries binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "task long, list long, node long")
+    sent = docs.select("text").mapInArrow(lean(send), "bucket long, entries binary")
+    return sent.groupBy("bucket").applyInArrow(lean(meet), "task long, list long, node long")
 
 
 def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _ties(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
     wanted = lists.select(F.col("task").alias("to"), F.col("node").alias("set_id")).distinct()
     sent = wanted.join(reps.select("set_id", "n", "counts"), "set_id").select("to", F.col("set_id").alias("node"), "n", "counts")
-    return lists.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(prune, "a long, b long").distinct()
+    return lists.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(lean(prune), "a long, b long").distinct()
 
 
 class Forest:
@@ -471,7 +471,7 @@ def _sets(docs: DataFrame, placed: DataFrame, words: int, hasher: SpanHasher) ->
                 yield out.filter(same)
 
     own = docs.join(placed.select("doc_id", "node", "root", "large"), "doc_id").select("node", "root", "large", "text")
-    return own.mapInArrow(batches, "node long, root long, large boolean, shingles array<long>")
+    return own.mapInArrow(lean(batches), "node long, root long, large boolean, shingles array<long>")
 
 
 def _joined(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -491,7 +491,7 @@ def _joined(groups: DataFrame, num: int, den: int) -> DataFrame:
             roots.append(node[own][label])
         return pa.table({"node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64()), "component": pa.array(np.concatenate(roots) if roots else [], pa.int64())})
 
-    return groups.groupBy("task").applyInArrow(join, "node long, component long")
+    return groups.groupBy("task").applyInArrow(lean(join), "node long, component long")
 
 
 def _large(found: DataFrame, ties: DataFrame, num: int, den: int) -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import SpanHasher, checkpointed, flat, lowered, pieces, word_spans
+from subtide.llm.common import SpanHasher, checkpointed, flat, lean, lowered, pieces, word_spans
 
-CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS = 4096, 1, 50_000, 400_000
+CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS, ENCODED_BYTES = 4096, 1, 50_000, 400_000, 1 << 20
 
 
 class WordIds:
@@ -138,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         for batch in it:
             names = batch.column(0)
             data, offsets = flat(batch.column(1))
-            for i, j, part, own in pieces(data, offsets):
+            for i, j, part, own in pieces(data, offsets, ENCODED_BYTES):
                 ids, bounds = encoder.encode(part, own)
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)
@@ -153,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(batches), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +192,7 @@ def _packed(items: DataFrame, capacity: int, level: int) -> DataFrame:
             yield rows.assign(bin=bins + (level << 56 | TaskContext.get().partitionId() << 32), place=places)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.mapInPandas(batches, f"{fields}, bin long, place long")
+    return items.mapInPandas(lean(batches), f"{fields}, bin long, place long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import flat, lowered, pieces, rolling_hashes, rolling_sums, word_spans
+from subtide.llm.common import flat, lean, lowered, pieces, rolling_hashes, rolling_sums, word_spans
 
 FIT_ROWS, BUCKETS, LEAST_DOCS, STEPS = 12_000, 1 << 17, 6, 250
 DENSE = 9
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Ordinal |
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(i, j - i), rows, pa.array(list(dense), pa.list_(pa.float64()))], names=["grade", "buckets", "dense"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")  # at most ``rows`` ids
-    got = found.mapInArrow(batches, "grade int, buckets array<int>, dense array<double>").toArrow()
+    got = found.mapInArrow(lean(batches), "grade int, buckets array<int>, dense array<double>").toArrow()
     grade = got["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grade)) < 2:
         return int(grade.max(initial=0))
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Ordinal | int, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[1:]], *map(pa.array, columns)], names=[*names, *added])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(docs[text], *[docs[c] for c in names]).mapInArrow(batches, f"{fields}, expected_grade double, p_top double, p_above_low double, keep boolean")
+    return docs.select(docs[text], *[docs[c] for c in names]).mapInArrow(lean(batches), f"{fields}, expected_grade double, p_top double, p_above_low double, keep boolean")
 
 
 def kept(docs: DataFrame, model: Ordinal | int, text: str = "text") -> DataFrame:
@@ -160,7 +160,7 @@ def kept(docs: DataFrame, model: Ordinal | int, text: str = "text") -> DataFrame
                 yield batch.slice(i, j - i).filter(pa.array(tails[-1] >= 0.5))
 
     place = docs.columns.index(text)
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lean(batches), docs.schema)
 
 
 def _tails(model: Ordinal, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:

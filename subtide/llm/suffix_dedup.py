@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, mix, pieces, rolling_hashes, rolling_sums
+from subtide.llm.common import SpanHasher, checkpointed, fan_out, flat, lean, mix, pieces, rolling_hashes, rolling_sums
 
 LENGTH, SEED, HOT_CHUNKS, LONGEST_RUN, CHUNK_BYTES = 50, 24, 64, 1024, 4 << 20
 
@@ -373,11 +373,11 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     back = "chunk long, rep long, key long, tie long, blob binary"
-    sent = dealt.cogroup(reps.groupBy("chunk")).applyInArrow(minimizers, "bucket long, chunk long, blob binary")
-    common = sent.groupBy("bucket").applyInArrow(shared, back)
-    cut = dealt.cogroup(reps.unionByName(common).groupBy("chunk")).applyInArrow(items, "bucket long, chunk long, rows binary, text binary")
-    marks = cut.groupBy("bucket").applyInArrow(matched, back)
-    return dealt.cogroup(reps.unionByName(marks).groupBy("chunk")).applyInArrow(result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    sent = dealt.cogroup(reps.groupBy("chunk")).applyInArrow(lean(minimizers), "bucket long, chunk long, blob binary")
+    common = sent.groupBy("bucket").applyInArrow(lean(shared), back)
+    cut = dealt.cogroup(reps.unionByName(common).groupBy("chunk")).applyInArrow(lean(items), "bucket long, chunk long, rows binary, text binary")
+    marks = cut.groupBy("bucket").applyInArrow(lean(matched), back)
+    return dealt.cogroup(reps.unionByName(marks).groupBy("chunk")).applyInArrow(lean(result), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def _merged(marks: np.ndarray) -> np.ndarray:
