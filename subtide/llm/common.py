@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import inspect
 import re
 import secrets
@@ -62,13 +61,19 @@ def lean(f: Callable) -> Callable:
         finally:
             _hand_back()
 
-    def of(*tables):
+    def of_one(table):
         try:
-            return f(*tables)
+            return f(table)
         finally:
             _hand_back()
 
-    return over if inspect.isgeneratorfunction(f) else functools.wraps(f)(of)
+    def of_two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            _hand_back()
+
+    return over if inspect.isgeneratorfunction(f) else of_one if len(inspect.signature(f).parameters) == 1 else of_two
 
 
 def _hand_back() -> None:

@@ -45,7 +45,7 @@ FEATURES = ["size", "digits", "uppers", "runs", "distinct", "vowels", "transitio
 def language(docs: DataFrame) -> tuple[Column, Column]:
     """Constants from the words of all documents: log-likelihood of each character after another, and a bit for each common three-character piece."""
     n = len(_SYMBOLS)
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("word")).where(F.length("word") < 16).groupBy("word").agg(F.count("*").alias("n"))  # longer ones are candidates themselves
     words = checkpointed(words)
     pairs, threes = (words.select("n", F.explode(_pieces(F.col("word"), width)).alias("piece")) for width in (2, 3))
     two = {r.piece: r.n for r in pairs.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most 36**2 rows
