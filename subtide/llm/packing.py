@@ -12,6 +12,7 @@ repeated rows are packed as rows of their own.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from subtide.llm.common import SpanHasher, checkpointed, flat, lean, lowered, pieces, word_spans
 
-CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS, ENCODED_BYTES = 4096, 1, 50_000, 400_000, 1 << 20
+CAPACITY, END_ID, ITEMS_PER_TASK, CACHED_WORDS, ENCODED_BYTES = 4096, 1, 50_000, 400_000, 1 << 19
 
 
 class WordIds:
     """Token ids of white-space separated words, each encoded once; right for tokenizers that ignore case and never join words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +53,7 @@ class WordIds:
         whole = np.flatnonzero(letters).tolist()
         lines = [whole[i : i + 256] for i in range(0, len(whole), 256)]
         rest = np.flatnonzero(~letters).tolist()
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False), strict=True):
+        for line, e in self._each(lines, lambda line: " ".join([words[i] for i in line]), 32):
             ids = e.ids
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(line):
@@ -59,11 +61,17 @@ class WordIds:
                 continue
             for i, a, b in zip(line, [0, *stops[:-1]], stops, strict=True):
                 found[i] = ids[a:b]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, e in self._each(rest, words.__getitem__, 4096):
             found[i] = e.ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
 
+    def _each(self, items: list, text_of, at_once: int) -> Iterator[tuple]:
+        """Items with their encodings, which are large and so not kept."""
+        for k in range(0, len(items), at_once):
+            part = items[k : k + at_once]
+            yield from zip(part, self.tokenizer.encode_batch_fast([text_of(x) for x in part], add_special_tokens=False), strict=True)
+
     def _learn(self, hashes: np.ndarray, words: list[str], letters: np.ndarray) -> None:
         new, counts = self._encoded(words, letters)
         starts = np.cumsum(counts) - counts + len(self.ids)
