@@ -79,9 +79,11 @@ def should_drop(text: Column, least_words: int = 3) -> Column:
     return (F.trim(text) == "") | filler_only(text) | short
 
 
-def ends_with_connector(text: Column) -> Column:
-    last = F.try_element_at(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0)), F.lit(-1))
-    return F.coalesce(last.isin(CONNECTORS), F.lit(False))
+def ends_with_connector(text: Column, language: Column | None = None) -> Column:
+    """Whether the last word announces a continuation in Dutch; with a language, in Dutch texts only."""
+    last = F.try_element_at(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)), F.lit(-1))
+    waits = F.coalesce(last.isin(CONNECTORS), F.lit(False))
+    return waits if language is None else waits & F.coalesce(language == "nl", F.lit(False))
 
 
 def overlap(left: Column, right: Column, most: int) -> Column:

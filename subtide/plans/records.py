@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
 from subtide.operators import scoring, sessions
-from subtide.plans.registry import _GRAMS, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _grams, _normal_sql, _t, all_pairs_of, all_sentences_of, cache_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.plans.registry import _CER, _CHRF, _DISTANCE, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -183,16 +183,10 @@ def agg4_snapshot(spark, d):
     return _t(spark, d, "events").groupBy(F.col("user_id").alias("client_id"), F.col("event_type").alias("metric")).agg(F.least(F.count("*"), F.lit(1000)).alias("samples"))
 
 
-@query(f"""WITH {_GRAMS}, c AS (SELECT item_id, n, g, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS h FROM grams GROUP BY ALL),
-o AS (SELECT item_id, n, sum(least(r, h)) / sum(h) AS p, sum(least(r, h)) / sum(r) AS q FROM c GROUP BY ALL), m AS (SELECT item_id, sum(p) / 6 AS p, sum(q) / 6 AS q FROM o GROUP BY 1),
-s AS (SELECT item_id % 3 AS model, count(*) AS n, avg(CASE WHEN p + q = 0 THEN 0 ELSE 5 * p * q / (4 * p + q) END) AS chrf FROM m GROUP BY 1)
+@query(f"""WITH {_CHRF}, s AS (SELECT item_id % 3 AS model, count(*) AS n, avg(chrf) AS chrf FROM scored GROUP BY 1)
 SELECT model, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status, round(chrf, 4) AS chrf_mean FROM (VALUES (0), (1), (2), (3)) AS w(model) LEFT JOIN s USING (model)""")
 def agg9_translation_rollup(spark, d):
-    c = _grams(spark, d).groupBy("item_id", "n", "g").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
-    o = c.groupBy("item_id", "n").agg((F.sum(F.least("r", "h")) / F.sum("h")).alias("p"), (F.sum(F.least("r", "h")) / F.sum("r")).alias("q"))
-    m = o.groupBy("item_id").agg((F.sum("p") / 6).alias("p"), (F.sum("q") / 6).alias("q"))
-    score = F.when(F.col("p") + F.col("q") == 0, 0.0).otherwise(5 * F.col("p") * F.col("q") / (4 * F.col("p") + F.col("q")))
-    done = m.groupBy((F.col("item_id") % 3).alias("model")).agg(F.count("*").alias("n"), F.avg(score).alias("chrf"))
+    done = chrf_of(spark, d).groupBy((F.col("item_id") % 3).alias("model")).agg(F.count("*").alias("n"), F.avg("chrf").alias("chrf"))
     wanted = spark.range(4).select(F.col("id").alias("model"))  # the models asked for; the last has no run
     return wanted.join(done, "model", "left").select(F.col("model").cast("int").alias("model"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "skipped").otherwise("ok").alias("status"), F.round("chrf", 4).alias("chrf_mean"))
 
@@ -251,7 +245,7 @@ def set4_delete_entries(spark, d):
 
 @query()
 def strf7_merge_overlap(spark, d):
-    own = all_sentences_of(spark, d)
+    own = sentences_of(spark, d)
     following = F.lead("sentence").over(W.partitionBy("doc_id").orderBy("i"))
     return own.withColumn("following", following).where("following IS NOT NULL").select("doc_id", "i", text.merge_overlap(F.col("sentence"), F.col("following")).alias("merged"))
 
@@ -261,14 +255,14 @@ def mth4_interval(spark, d):
     return _t(spark, d, "events").select("event_id", F.round(arrays.partial_interval_ms(400, 2000, F.col("value") / 50), 6).alias("interval_ms"))
 
 
-@query(f"WITH {_PAIRS} SELECT item_id, levenshtein(reference, hypothesis) AS letters FROM pairs")
+@query(f"WITH {_PAIRS} SELECT item_id, {_DISTANCE.format(a='reference', b='hypothesis')} AS letters FROM pairs")
 def mth5_letter_distance(spark, d):
     return pairs_of(spark, d).select("item_id", F.levenshtein("reference", "hypothesis").cast("bigint").alias("letters"))
 
 
 @query()
 def mth5_word_distance(spark, d):
-    return all_pairs_of(spark, d).select("item_id", arrays.word_distance(arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))).cast("bigint").alias("words"))
+    return pairs_of(spark, d).select("item_id", arrays.word_distance(arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))).cast("bigint").alias("words"))
 
 
 def _timed(spark, d):
@@ -311,7 +305,7 @@ def aud3_resample(spark, d):
 # Sinks
 
 
-@query(f"WITH {_PAIRS} SELECT item_id % 3 AS model, count(*) AS n, round(avg(levenshtein(replace(reference, ' ', ''), replace(hypothesis, ' ', '')) / length(replace(reference, ' ', ''))), 6) AS cer FROM pairs GROUP BY 1")
+@query(f"WITH {_PAIRS} SELECT item_id % 3 AS model, count(*) AS n, round(avg({_CER}), 6) AS cer FROM pairs GROUP BY 1")
 def snk5_report(spark, d):
     from subtide.plans.registry import agg8_evaluation
 

@@ -105,7 +105,6 @@ class Snapshots:
 
 
 _WORD = re.compile(r"[\w'-]+")
-_LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][\"”’)\]]*(?=\s|$)")
 
 
@@ -148,23 +147,24 @@ class SentenceAssembler:
         return re.sub(r"[\W_]+", " ", text.lower()).strip() in FILLERS
 
     @staticmethod
-    def _goes_on(text: str) -> bool:
-        return (_LETTERS.findall(text.lower()) or [""])[-1] in CONNECTORS
+    def _goes_on(text: str, lang: str | None) -> bool:
+        """Whether a Dutch text ends in a word that announces a continuation."""
+        return lang == "nl" and (_WORD.findall(text.lower()) or [""])[-1] in CONNECTORS
 
     def _whole(self, text: str) -> list[str]:
         done = text if text.endswith((".", "!", "?", "…")) else f"{text}."
         return [] if self._dropped(done) else [done]
 
-    def _cut(self, text: str, forced: bool) -> tuple[list[str], str]:
+    def _cut(self, text: str, forced: bool, lang: str | None) -> tuple[list[str], str]:
         if forced:
-            waits = self._goes_on(text) and len(_WORD.findall(text)) < self.most_words
+            waits = self._goes_on(text, lang) and len(_WORD.findall(text)) < self.most_words
             return ([], text) if waits else (self._whole(text), "")
         ends = [m.end() for m in _END.finditer(text)]
         found = [p for p in (tidy(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)) if not self._dropped(p)]
-        held = any(map(self._goes_on, found))
+        held = any(self._goes_on(x, lang) for x in found)
         found, rest = ([], text) if held else (found, tidy(text[ends[-1] :]) if ends else text)
         full = len(_WORD.findall(rest)) >= self.most_words or len(rest) >= self.most_chars
-        if not found and full and not self._goes_on(rest):
+        if not found and full and not self._goes_on(rest, lang):
             return [rest if rest.endswith((".", "!", "?", "…")) else f"{rest}."], ""
         return found, rest
 
@@ -176,11 +176,11 @@ class SentenceAssembler:
         if not fragment or self._filler(fragment):
             return []
         text = joined(state["waiting"], fragment) if state["waiting"] else fragment
-        found, state["waiting"] = self._cut(text, bool(row.get("forced")))
+        found, state["waiting"] = self._cut(text, bool(row.get("forced")), state["lang"])
         return [(row["seq"], s) for s in found]
 
     def close(self, state: dict) -> list[tuple]:
-        found, state["waiting"] = self._cut(state["waiting"], True) if state["waiting"] else ([], "")
+        found, state["waiting"] = self._cut(state["waiting"], True, state["lang"]) if state["waiting"] else ([], "")
         return [(state["seq"], s) for s in found]
 
 

@@ -1,5 +1,7 @@
 """The literal cases of the reference's behaviour."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,40 @@ def test_upsert_keeps_old(spark):
     schema = "k long, started long, updated long"
     old, new = spark.createDataFrame([(1, 10, 10)], schema), spark.createDataFrame([(1, 20, 20), (2, 5, 5)], schema)
     assert sorted(map(tuple, sessions.upsert(old, new, ["k"], ("started",)).collect())) == [(1, 10, 20), (2, 5, 5)]
+
+
+def test_chrf_and_error_rates_on_empty_and_short_sides(spark, tmp_path):
+    from subtide.plans import records, registry
+
+    texts = ["", "!!", "ab", "abcdefgh", "abcdefgx", None, "Canción", "cancion"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def grams(t, n):
+        return Counter(t[i : i + n] for i in range(len(t) - n + 1))
+
+    def chrf(r, h):
+        if not r or not h:
+            return 1.0 if r == h else 0.0
+        common = [sum((grams(r, n) & grams(h, n)).values()) for n in range(1, 7)]
+        p, q = (sum(c / max(1, len(x) - n + 1) for n, c in zip(range(1, 7), common, strict=True)) / 6 for x in (h, r))
+        return 5 * p * q / (4 * p + q) if p + q else 0.0
+
+    plain = ["", "", "ab", "abcdefgh", "abcdefgx", "", "canción", "cancion"]
+    want = {i: round(chrf(plain[i], plain[i + 1]), 6) for i in range(7)}
+    assert {r.item_id: r.chrf for r in registry.mth8_chrf(spark, str(tmp_path)).collect()} == want
+    assert {r.item_id: r.cer for r in registry.mth7_cer(spark, str(tmp_path)).collect()} == {0: 0.0, 1: 1.0, 2: 3.0, 3: 0.125, 4: 1.0, 5: 1.0, 6: round(1 / 7, 6)}
+    assert {r.model: r.n for r in registry.agg8_evaluation(spark, str(tmp_path)).collect()} == {0: 3, 1: 2, 2: 2}
+    assert {r.model: (r.n, r.status) for r in records.agg9_translation_rollup(spark, str(tmp_path)).collect()} == {0: (3, "ok"), 1: (2, "ok"), 2: (2, "ok"), 3: (0, "skipped")}
+
+
+def test_connectors_by_language(spark):
+    from subtide.streaming.machines import SentenceAssembler
+
+    rows = [("Please do come in.", "en"), ("Dit is de plug-in.", "nl"), ("Dit is mooi maar", "nl")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    got = [r[0] for r in frame.select(text.ends_with_connector(F.col("text"), F.col("lang"))).collect()]
+    assert got == [False, False, True]
+    for spoken, lang, held in (("Please do come in.", "en", False), ("Wij gaan er zo in.", "nl", True)):
+        machine = SentenceAssembler()
+        said = machine.step(machine.start(), {"seq": 1, "text": spoken, "forced": False, "source_lang": lang})
+        assert (said == []) is held
