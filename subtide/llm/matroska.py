@@ -3,12 +3,14 @@
 ``store`` writes a byte payload losslessly as one 8-bit PCM track: EBML header, Segment with Info,
 Tracks, Clusters of SimpleBlocks and Cues. ``packet_table`` parses any Matroska bytes: variable-length
 element ids and sizes (unknown sizes of Segment and Cluster included), clusters, simple blocks and block
-groups, all four lacings and cues, into one row per packet with track, timestamp and byte range.
+groups, all four lacings and cues, into one row per packet with track, timestamp, byte range and, where its
+block group tells it, duration. Times are nanoseconds: ticks times the file's timestamp scale.
 
-Each file is handled inside one row, Arrow batch by Arrow batch; nothing is gathered.
+Each file is handled inside one row, in runs of about ``RUN_BYTES``; nothing is gathered.
 
 Defined results: a null or empty payload becomes 64 zero bytes; null or broken media gives the packets
-read up to the break and its ``error``; equal payloads give equal media.
+read up to the break and its ``error``, so does nesting deeper than ``DEEPEST``; equal payloads give equal
+media; columns named like the added ones are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import lean
+from subtide.llm.common import flat, lean, pieces
 
 ALIGN, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER, RATE = 64, 1024, 8, 8, 8000
+DEEPEST, RUN_BYTES = 32, 4 << 20
 
 # Element ids of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
@@ -35,9 +38,9 @@ CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0
 DOC_TYPE, DOC_TYPE_VERSION = 0x4282, 0x4287
 MASTERS = {SEGMENT, TRACKS, TRACK, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, INFO, AUDIO}
 
-PACKET = pa.struct([("track", pa.int32()), ("packet", pa.int32()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("cluster", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
+PACKET = pa.struct([("track", pa.int32()), ("packet", pa.int32()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("cluster", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("duration", pa.int64())])
 CUE = pa.struct([("time", pa.int64()), ("track", pa.int32()), ("position", pa.int64())])
-PACKETS_DDL = "array<struct<track:int,packet:int,timestamp:bigint,keyframe:boolean,lacing:string,cluster:int,offset:bigint,size:bigint>>"
+PACKETS_DDL = "array<struct<track:int,packet:int,timestamp:bigint,keyframe:boolean,lacing:string,cluster:int,offset:bigint,size:bigint,duration:bigint>>"
 CUES_DDL = "array<struct<time:bigint,track:int,position:bigint>>"
 
 
@@ -150,16 +153,22 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
     """Packets, cues (positions from the start of the file) and the error that ended the parse, if any."""
     packets: list[tuple] = []
     cues: list[tuple] = []
-    state = {"time": 0, "cluster": -1, "segment": 0}
+    state = {"time": 0, "cluster": -1, "segment": 0, "scale": 1_000_000}
 
-    def block(at: int, end: int, simple: bool, keyframe: bool) -> None:
+    def block(at: int, end: int, simple: bool, keyframe: bool, duration: int | None = None) -> None:
         track, at, _ = _vint(data, at)
         offset, flags = struct.unpack_from(">hB", data, at)
         lacing, frames = _frames(data, at + 3, end, flags)
         for start, size in frames:
-            packets.append((track, len(packets), state["time"] + offset, bool(flags & 0x80) if simple else keyframe, lacing, state["cluster"], start, size))
+            own = None if duration is None else duration * state["scale"] // len(frames)
+            packets.append((track, len(packets), (state["time"] + offset) * state["scale"], bool(flags & 0x80) if simple else keyframe, lacing, state["cluster"], start, size, own))
 
-    def walk(at: int, end: int, into: dict) -> None:
+    def number(span: tuple[int, int]) -> int:
+        return int.from_bytes(data[slice(*span)], "big")
+
+    def walk(at: int, end: int, into: dict, depth: int) -> None:
+        if depth > DEEPEST:
+            raise ValueError(f"elements nested deeper than {DEEPEST} at byte {at}")
         while at < end:
             ident, at, _ = _vint(data, at, True)
             size, at, width = _vint(data, at)
@@ -174,23 +183,25 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
                 if unknown:
                     continue  # its children follow on this level until the next cluster
             elif ident == CLUSTER_TIME:
-                state["time"] = int.from_bytes(data[at:stop], "big")
+                state["time"] = number((at, stop))
+            elif ident == TIMESTAMP_SCALE:
+                state["scale"] = number((at, stop))
             elif ident == SIMPLE_BLOCK:
                 block(at, stop, True, False)
             elif ident in (BLOCK, BLOCK_DURATION, REFERENCE_BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
                 into[ident] = (at, stop)
             if ident in MASTERS:
                 inner = into if ident == CUE_POSITIONS else {}
-                walk(at, stop, inner)
+                walk(at, stop, inner, depth + 1)
                 if ident == BLOCK_GROUP and BLOCK in inner:
-                    block(*inner[BLOCK], False, REFERENCE_BLOCK not in inner)
+                    block(*inner[BLOCK], False, REFERENCE_BLOCK not in inner, number(inner[BLOCK_DURATION]) if BLOCK_DURATION in inner else None)
                 elif ident == CUE_POINT and CUE_TIME in inner and CUE_CLUSTER in inner:
-                    time, track, position = (int.from_bytes(data[slice(*inner[i])], "big") if i in inner else 0 for i in (CUE_TIME, CUE_TRACK, CUE_CLUSTER))
-                    cues.append((time, track, state["segment"] + position))
+                    time, track, position = (number(inner[i]) if i in inner else 0 for i in (CUE_TIME, CUE_TRACK, CUE_CLUSTER))
+                    cues.append((time * state["scale"], track, state["segment"] + position))
             at = stop
 
     try:
-        walk(0, len(data), {})
+        walk(0, len(data), {}, 0)
     except (ValueError, IndexError, struct.error) as e:
         return packets, cues, str(e)
     return packets, cues, None
@@ -202,11 +213,12 @@ def store(df: DataFrame, column: str, media: str = "media") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            made = []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                text = text or b""
-                made.append(mux(text + b"\0" * ((-len(text)) % ALIGN or (ALIGN if not text else 0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.binary())], names=[*kept, media])
+            for i, j, data, own in pieces(*flat(batch.column(0)), RUN_BYTES):
+                raw, made = data.tobytes(), []
+                for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
+                    text = raw[a:b]
+                    made.append(mux(text + b"\0" * ((-len(text)) % ALIGN or (ALIGN if not text else 0))))
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[1:]], pa.array(made, pa.binary())], names=[*kept, media])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     return df.select(df[column].alias("__payload"), *kept).mapInArrow(lean(batches), f"{fields}, `{media}` binary")
@@ -218,7 +230,7 @@ def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
     kept = [c for c in df.columns if c not in added]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (part for whole in it for part in _runs(whole, kept.index(media))):
             parsed = [demux(x) if x is not None else ([], [], "no media") for x in batch.column(kept.index(media)).to_pylist()]
             names = ([f.name for f in PACKET], [f.name for f in CUE])
             lists = [pa.array([[dict(zip(names[k], row, strict=True)) for row in p[k]] for p in parsed], pa.list_(t)) for k, t in enumerate((PACKET, CUE))]
@@ -228,6 +240,12 @@ def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
     return df.select(*kept).mapInArrow(lean(batches), f"{fields}, packets {PACKETS_DDL}, cues {CUES_DDL}, error string")
 
 
+def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with about ``RUN_BYTES`` of media each."""
+    for i, j, _, _ in pieces(*flat(batch.column(column)), RUN_BYTES):
+        yield batch.slice(i, j - i)
+
+
 def payload_digests(df: DataFrame, media: str = "media") -> DataFrame:
     """The key columns with digests and features of the payload, read back through the packets' byte ranges."""
     dropped = (media, "packets", "cues", "error")
