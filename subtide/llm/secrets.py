@@ -105,6 +105,9 @@ def planted_findings(docs: DataFrame, tables: tuple[Column, Column], rows: int =
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     own = docs.select("doc_id", "source", words.alias("words"), F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.sha2("text", 256)), 256).alias("h")).where(F.size("words") > 0)
     at = F.pmod(F.xxhash64("h"), F.size("words")).cast("int")
+    # Of the hashes below this share there are four times as many as wanted, so few rows of a partition are sent to be sorted.
+    share = min(1.0, 4 * rows / max(docs.count(), 1))
+    own = own.where(F.col("h") < f"{round(share * 16**12):012x}") if share < 1 else own
     own = own.orderBy("h").limit(rows).select("doc_id", "source", "h", F.slice("words", at + 1, 4).alias("after"), F.slice("words", F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))).alias("before"))
     plain = F.coalesce(F.nullif(F.regexp_replace(F.array_join("after", ""), "[^A-Za-z]", ""), F.lit("")), F.lit("word"))
     long_word = F.substring(F.repeat(plain, 16), 1, 24)
