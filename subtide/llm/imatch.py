@@ -7,9 +7,9 @@ terms in that subset. Sparse subsets survive edits of long documents, dense ones
 documents apart. Likeness is the share of equal hashes among the subsets that either document uses.
 
 The band bounds the lexicon: with df >= share * n there are at most (mean distinct terms) / share
-terms, whatever n is. It is kept as a Bloom table of fixed size (2**21 bits, three probes; a foreign
-term passes with a chance below 3e-4 for a lexicon of 45,000 terms), a constant of the plan,
-so that no term is shuffled after the counts.
+terms, whatever n is. It is kept as a Bloom table (three probes, a power of two of bits with 46 a term
+at least, so that a foreign term passes with a chance below 3e-4), a constant of the plan whose size
+follows the lexicon's, so that no term is shuffled after the counts.
 
 Defined results: a null text is empty; a document without lexicon terms is hashed by all its terms;
 with no terms, all subsets are empty. Equal texts have equal fingerprints.
@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from subtide.llm.common import checkpointed
+
 BAND = (math.log(1 / 0.1), math.log(1 / 0.001))  # least and greatest inverse document frequency
 LEAST_DF = 2
-BITS = 21
+#: Bits of the table for each term of the lexicon, and log2 of its least size.
+BITS_PER_TERM, LEAST_BITS = 46, 16
 #: A subset keeps a term whose hash has this many zero bits from this bit on.
 SUBSETS = [(0, 1), (1, 1), (2, 1), (3, 3), (6, 3), (9, 3), (12, 5), (17, 5), (22, 5), (27, 7), (34, 7), (41, 7)]
 EMPTY = "-" * 16
@@ -37,9 +40,8 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
 
 
-def _probes(term: Column) -> list[Column]:
-    mask = F.lit((1 << BITS) - 1)
-    return [F.shiftrightunsigned(term, s).bitwiseAND(mask) for s in (0, 21, 42)]
+def _probes(term: Column, bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(term, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, (64 - bits) // 2, 64 - bits)]
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -50,25 +52,29 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return counted.where(F.col("df").between(least, most))
 
 
-def bloom(words: DataFrame) -> Column:
-    """The lexicon as a constant array of 64-bit words; its size is fixed."""
-    spark, size = words.sparkSession, 1 << (BITS - 6)
-    bits = words.select(F.explode(F.array(*_probes(F.col("term")))).alias("bit"))
-    marked = bits.select(F.shiftrightunsigned("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+def bloom(words: DataFrame) -> tuple[Column, int]:
+    """The lexicon as a constant array of 64-bit words, and log2 of its bits."""
+    words = checkpointed(words.select("term"))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, words.count()) * BITS_PER_TERM)))
+    spark, size = words.sparkSession, 1 << (bits - 6)
+    at = words.select(F.explode(F.array(*_probes(F.col("term"), bits))).alias("bit"))
+    marked = at.select(F.shiftrightunsigned("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
     table = marked.unionByName(spark.range(size).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("mask"))).groupBy("at").agg(F.bit_or("mask").alias("mask"))
-    bits = table.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "mask"))), lambda x: x["mask"].cast("string")), " ")).first()[0]
-    return F.split(F.lit(bits), " ").cast("array<bigint>")  # a constant of 256 KB, folded once
+    whole = table.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "mask"))), lambda x: x["mask"].cast("string")), " ")).first()[0]
+    return F.split(F.lit(whole), " ").cast("array<bigint>"), bits  # a constant, folded once; 8 bytes for each term or two
+
 
+def in_lexicon(found: Column, table: tuple[Column, int]) -> Column:
+    words, bits = table
 
-def in_lexicon(found: Column, table: Column) -> Column:
     def known(term: Column) -> Column:
-        hits = [F.call_function("shiftrightunsigned", table[F.shiftrightunsigned(p, 6).cast("int")], p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _probes(term)]
+        hits = [F.call_function("shiftrightunsigned", words[F.shiftrightunsigned(p, 6).cast("int")], p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _probes(term, bits)]
         return hits[0] & hits[1] & hits[2]
 
     return F.filter(found, known)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, table: Column) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, table: tuple[Column, int]) -> DataFrame:
     """``df`` with the fingerprint of a text column: the subsets' hashes, joined by dots."""
     found, kept, parts = f"{name}_terms", f"{name}_kept", []
     df = df.withColumn(found, terms(F.col(text))).withColumn(kept, in_lexicon(F.col(found), table))
@@ -90,17 +96,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(equal / F.size(pairs))
 
 
+def _range_of(ids: DataFrame, n: int) -> Column:
+    """The number of the range that a doc_id falls in, of about sqrt(n) with about equal shares of the rows.
+
+    The bounds are quantiles of a sample of ids, some 64 for each range; they only decide which rows are
+    sorted together. They are a constant array, searched by halving.
+    """
+    ranges = max(1, math.isqrt(n))
+    drawn = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (64 * ranges)))) == 0)
+    shares = F.split(F.lit(" ".join(str(i / ranges) for i in range(ranges))), " ").cast("array<double>")
+    bounds = drawn.agg(F.percentile_approx("doc_id", shares, 64 * ranges)).first()[0] or [0]
+    bounds = sorted(set(bounds))
+    table = F.split(F.lit(" ".join(map(str, bounds))), " ").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step) <= F.col("doc_id"), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs`` with next_<column>: those of the document with the next smaller doc_id, the largest after the smallest.
 
     Ids are dealt to about sqrt(n) ranges; the last row of a range is sent along to the one after it.
-    Rows that repeat an id follow each other by text.
+    Rows that repeat an id follow each other by text; rows without an id follow each other.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, math.isqrt(n))
-    width = ((high or 0) - (low or 0)) // ranges + 1
-    place = F.floor((F.col("doc_id") - F.lit(low or 0)) / width)
-    ends = docs.where("doc_id IS NOT NULL").groupBy(place.alias("range")).agg(F.max("doc_id").alias("doc_id"))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+    place = F.when(F.col("doc_id").isNotNull(), _range_of(ids, ids.count()))
+    ends = ids.groupBy(place.alias("range")).agg(F.max("doc_id").alias("doc_id"))
     order = W.orderBy("range")
     follows = F.coalesce(F.lead("range").over(order), F.min("range").over(W.partitionBy()))
     ends = ends.select("doc_id", follows.alias("to"))  # a row for each range: sqrt(n) at most
