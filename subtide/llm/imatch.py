@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from subtide.llm.common import checkpointed
+from subtide.llm.common import tabled
 
 BAND = (math.log(1 / 0.1), math.log(1 / 0.001))  # least and greatest inverse document frequency
 LEAST_DF = 2
@@ -54,7 +54,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 def bloom(words: DataFrame) -> tuple[Column, int]:
     """The lexicon as a constant array of 64-bit words, and log2 of its bits."""
-    words = checkpointed(words.select("term"))
+    words = tabled(words.select("term"))
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, words.count()) * BITS_PER_TERM)))
     spark, size = words.sparkSession, 1 << (bits - 6)
     at = words.select(F.explode(F.array(*_probes(F.col("term"), bits))).alias("bit"))
