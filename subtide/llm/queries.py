@@ -1,6 +1,6 @@
 """The training-data queries and their SQL."""
 
-from subtide.llm import chat, imatch, matroska, mixing, ngram_join, packing, quality, secrets, suffix_dedup, url_filters
+from subtide.llm import chat, imatch, matroska, merkle, mixing, ngram_join, packing, quality, secrets, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
