@@ -1,6 +1,6 @@
 """The training-data queries and their SQL."""
 
-from subtide.llm import chat, imatch, matroska, merkle, mixing, ngram_join, packing, quality, secrets, suffix_dedup, url_filters
+from subtide.llm import chat, collocations, imatch, matroska, merkle, mixing, ngram_join, packing, quality, secrets, suffix_dedup, superminhash, url_filters
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_superminhash": superminhash.op12_superminhash,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -21,4 +23,6 @@ ORACLE_SQL = {
     "op5_url_filters": url_filters.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_superminhash": superminhash.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
