@@ -10,8 +10,8 @@ Signatures are cut into ``BANDS`` bands of ``ROWS`` places; sets that share a ba
 threshold 0.8 share no band with probability (1 - 0.8**4)**40 < 1e-9 each, sets at 0.85 with 2e-13; nothing else
 is left to chance:
 
-1. The smallest set of a list is its pivot. Every member is compared with it on the full sets, and what links
-   is joined by union-find over Spark tables.
+1. The set of a list that meets most others, over all lists, is its pivot. Every member is compared with it on
+   the full sets, and what links is joined by union-find over Spark tables.
 2. Lists that still hold more than one component are compared inside, member by member, but never within a
    component. A large list is dealt to tiles: only sets outside its largest component meet all others.
 
@@ -37,7 +37,9 @@ from subtide.llm import ngram_join
 from subtide.llm.common import SpanHasher, fan_out, flat, lean, mix, pieces, tabled
 from subtide.llm.ngram_join import components, links_in_bundle, set_ids, shingle_sets
 
-BANDS, ROWS, RUN_SETS, TILE_SETS, REST_SETS = 40, 4, 256, 256, 64
+BANDS, ROWS, RUN_SETS = 40, 4, 256
+#: Bounds of a tile: sets, and shingles (8 bytes each) of all its sets and of those outside the main component.
+TILE_SETS, REST_SETS, TILE_SHINGLES, REST_SHINGLES = 2048, 1024, 2_000_000, 1_000_000
 _C = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -161,14 +163,16 @@ def tile_links(tiles: DataFrame, words: int, num: int, den: int, hasher: SpanHas
 
 
 def open_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """tile, set_id, part: the lists(list, set_id) whose sets lie in several components, cut so that all pairs across components meet; lists with the same sets once."""
-    labelled = tabled(members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("list", "set_id", F.coalesce("root", "set_id").alias("part")))
+    """tile, set_id, part: the lists(list, set_id, size) whose sets lie in several components, cut so that all pairs across components meet; lists with the same sets once."""
+    labelled = tabled(members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("list", "set_id", "size", F.coalesce("root", "set_id").alias("part")))
     kinds = labelled.groupBy("list").agg(F.count("*").alias("n"), (F.min("part") < F.max("part")).alias("split"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
     chosen = kinds.where("split AND n > 2").groupBy("n", "x", "y").agg(F.min("list").alias("list")).select("list")
     own = tabled(labelled.join(chosen, "list"))
-    sized = own.groupBy("list", "part").agg(F.count("*").alias("n"))
-    main = sized.groupBy("list").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    tiled = own.join(main, "list").select("list", "set_id", "part", (F.col("part") != F.col("main")).alias("rest"), F.ceil((F.col("n") - F.col("most")) / REST_SETS).alias("rows"), F.ceil(F.col("n") / TILE_SETS).alias("columns"))
+    sized = own.groupBy("list", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = sized.groupBy("list").agg(F.max(F.struct("n", "size", "part")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("total"))
+    rows = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / REST_SETS), F.ceil((F.col("total") - F.col("main.size")) / REST_SHINGLES))
+    columns = F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES))
+    tiled = own.join(main, "list").select("list", "set_id", "part", (F.col("part") != F.col("main.part")).alias("rest"), rows.alias("rows"), columns.alias("columns"))
     place = F.xxhash64("set_id")
     all_rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.pmod(place, F.col("columns")).alias("j")))
     all_columns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1), lambda j: F.struct(F.pmod(place, F.col("rows")).alias("i"), j.alias("j")))
@@ -176,22 +180,34 @@ def open_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("list", "tile").alias("tile"), "set_id", "part")
 
 
+def meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists(list, set_id, size) of sets that share a band, and the pairs(set_id, pivot) of each member with the pivot of its list.
+
+    The pivot is the set that meets others most often, over all its lists: of a group of near copies that is the
+    text they were made from, with which they link though they may not link with each other.
+    """
+    held = sets.select("set_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("list"))
+    shared = tabled(held.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"))
+    members = tabled(held.join(shared, "list"))
+    meets = members.groupBy("set_id").agg(F.sum("n").alias("meets"))
+    pivots = members.join(meets, "set_id").groupBy("list").agg(F.max_by("set_id", F.struct("meets", "set_id")).alias("pivot"))
+    edges = members.join(tabled(pivots), "list").where("set_id <> pivot").select("set_id", "pivot").distinct()
+    return members.select("list", "set_id", "size"), tabled(edges)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id, kept: documents link when den * |A & B| >= num * |A | B|."""
     hasher = SpanHasher()
     keyed = docs.select(ngram_join._row_key().alias("doc_id"), "text")
     own = tabled(signed(keyed, words, bands, rows, hasher))
-    sets = tabled(own.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    sets = tabled(own.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     named = sets.select("set_id", "doc_id")
 
     def texts(wanted: DataFrame) -> DataFrame:
         """``wanted``, with the text of one document of each set_id."""
         return keyed.join(wanted.join(named, "set_id"), "doc_id").drop("doc_id")
 
-    held = sets.select("set_id", F.explode("bands").alias("list"))
-    shared = tabled(held.groupBy("list").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).where("pivot < last").select("list", "pivot"))
-    members = tabled(held.join(shared, "list"))
-    edges = tabled(members.where("set_id <> pivot").select("set_id", "pivot").distinct())
+    members, edges = meetings(sets)
     runs = edges.groupBy("pivot").agg(F.ceil(F.count("*") / RUN_SETS).alias("runs"))
     asked = edges.join(runs, "pivot").select("pivot", F.pmod(F.xxhash64("set_id"), F.col("runs")).alias("run"), F.lit(1).alias("role"), "set_id")
     asked = tabled(asked)

@@ -93,6 +93,8 @@ def test_components(spark, monkeypatch, words, num, den, most):
     monkeypatch.setattr(superminhash, "RUN_SETS", most)
     monkeypatch.setattr(superminhash, "TILE_SETS", most)
     monkeypatch.setattr(superminhash, "REST_SETS", max(2, most // 4))
+    monkeypatch.setattr(superminhash, "REST_SHINGLES", most * 40)
+    monkeypatch.setattr(superminhash, "TILE_SHINGLES", most * 100)
     found = texts()
     docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(found)], DOCS)
     got = superminhash.near_duplicates(docs, words, num, den).collect()
@@ -103,7 +105,7 @@ def test_lists_of_several_components_are_compared_inside(spark):
     """One band of one place: every list is a chance meeting, and links must come from the comparison within."""
     found = texts()
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    members = superminhash.tabled(docs.where("length(trim(text)) > 1").selectExpr("0L AS list", "doc_id AS set_id"))
+    members = superminhash.tabled(docs.where("length(trim(text)) > 1").selectExpr("0L AS list", "doc_id AS set_id", "length(text) AS size"))
     tiles = superminhash.open_tiles(members, spark.createDataFrame([], "node long, root long")).join(docs.withColumnRenamed("doc_id", "set_id"), "set_id")
     links = superminhash.tile_links(tiles, 4, 8, 10, SpanHasher())
     root = {r.node: r.root for r in superminhash.components(links).collect()}
