@@ -38,7 +38,9 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def row_name() -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    """A hash of id, source and text, each with its length and apart from null: rows that differ in one have different names."""
+    parts = [F.col("doc_id").cast("string"), F.col("source"), F.col("text")]
+    return F.md5(F.concat(*[F.when(p.isNull(), "-").otherwise(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p)) for p in parts]))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -116,17 +118,19 @@ class Mix:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words of each document in the slots of the mix."""
+    """doc_id, source, size, source_size, target, taken: the words of each document in the slots of the mix; first_slot and slots, where they lie."""
     mix = Mix(docs, weights, share, cap)
-    taken = mix.spans.groupBy("key", "first", "end").agg(F.sum("words").cast("long").alias("taken"))
+    taken = mix.spans.groupBy("key", "first", "end").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"))
     out = mix.laid.join(taken, ["key", "first", "end"], "left").join(mix.sources.select("key", "source_size", "target"), "key")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them, in slot order: a row for each pass in which any of its words is taken.
 
-    Rows with equal id, source and text are told apart by number only: they share the smallest of their other columns.
+    Documents stay whole, so a source's rows hold more words than its target by less than one document: that in
+    which its last pass is cut. Rows with equal id, source and text are told apart by number only: they share the
+    smallest of their other columns.
     """
     taken = Mix(docs).spans.groupBy(F.col("name").alias("row"), "first", "pass").agg(F.min("slot").alias("slot"), F.min("start").alias("start")).select("row", "slot", "start", "first")
     keys = [c for c in ("doc_id", "source", "text") if c in docs.columns]
@@ -138,13 +142,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op3_mixing(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 #: The schedule by the same whole-number points; the step is the nearest number to the golden ratio's share that has no common divisor.
 ORACLE = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                      md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '') || ':' || coalesce(text, '')) AS name FROM documents),
+                      md5(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(text) || ':' || text, '-')) AS name FROM documents),
 named AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM named),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -155,11 +159,12 @@ shared AS (SELECT *, (words // source_size) * blocks + (words % source_size + 12
 cumulated AS (SELECT *, CAST(sum(slots) OVER (ORDER BY key) AS BIGINT) AS high, CAST(sum(slots) OVER () AS BIGINT) AS n FROM shared),
 steps AS (SELECT n, first(a ORDER BY abs(a - near), a) AS step FROM (SELECT n, near, unnest(range(greatest(near - 200, 1), near + 201)) AS a FROM (SELECT DISTINCT n, CAST(round(n * 0.6180339887498949::DOUBLE) AS BIGINT) AS near FROM cumulated)) WHERE gcd(a, n) = 1 GROUP BY n),
 points AS (SELECT slot, slot * step % n AS point FROM (SELECT n, step, unnest(range(n)) AS slot FROM steps)),
-slots AS (SELECT source, source_size, words, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank, blocks FROM points JOIN cumulated ON point >= high - slots AND point < high),
-places AS (SELECT source, rank % blocks AS block, least((rank % blocks) * 128 + 128, CASE WHEN rank // blocks < words // source_size THEN source_size ELSE words % source_size END) AS stop FROM slots),
+slots AS (SELECT source, slot, source_size, words, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank, blocks FROM points JOIN cumulated ON point >= high - slots AND point < high),
+places AS (SELECT source, slot, rank % blocks AS block, least((rank % blocks) * 128 + 128, CASE WHEN rank // blocks < words // source_size THEN source_size ELSE words % source_size END) AS stop FROM slots),
 laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, row_number() OVER (ORDER BY name) AS number FROM sized),
 parts AS (SELECT *, unnest(range(CAST(first // 128 AS BIGINT), CAST((first + size - 1) // 128 + 1 AS BIGINT))) AS block FROM laid WHERE size > 0),
-taken AS (SELECT number, sum(greatest(0, least(first + size, stop) - greatest(first, parts.block * 128))) AS taken FROM parts JOIN places ON parts.source IS NOT DISTINCT FROM places.source AND parts.block = places.block GROUP BY number)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+met AS (SELECT number, slot, least(first + size, stop) - greatest(first, parts.block * 128) AS words FROM parts JOIN places ON parts.source IS NOT DISTINCT FROM places.source AND parts.block = places.block),
+taken AS (SELECT number, sum(words) AS taken, min(slot) AS first_slot, count(*) AS slots FROM met WHERE words > 0 GROUP BY number)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, coalesce(slots, 0) AS slots
 FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (number)
 """

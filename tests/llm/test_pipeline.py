@@ -109,13 +109,14 @@ def test_stages(spark, tmp_path):
             check_packing(before, out.collect())
 
 
-def check_mix(before, after):
-    """Passes over whole documents in the order of the schedule, from the same points and shuffles."""
+def check_mix(before, after, ordered=False):
+    """Passes over whole documents in the order of the schedule, from the same points and shuffles. ordered: ``after`` was not written and read."""
     import hashlib
 
     stream = defaultdict(list)
     for i, t, s in before:
-        stream[s].append((hashlib.md5(f"{'' if i is None else i}:{s or ''}:{t or ''}".encode()).hexdigest(), i, t, s))
+        name = "".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (i, s, t))
+        stream[s].append((hashlib.md5(name.encode()).hexdigest(), i, t, s))
     keys = sorted(stream, key=lambda s: (s is None, s))
     sizes = {s: sum(size(t) for _, _, t, _ in stream[s]) for s in keys}
     weight, open_, left, target = {s: (3, 1, 2)[k % 3] for k, s in enumerate(keys)}, set(keys), 1.5 * sum(sizes.values()), {}
@@ -145,8 +146,8 @@ def check_mix(before, after):
             if max(at, block * 128) < min(at + size(t), stop):
                 took.setdefault((name, at, turn), (slot, at, (i, t, s)))
             at += size(t)
-    # a global order by slot, then place
-    assert after == [x[2] for x in sorted(took.values(), key=lambda x: (x[0], x[1]))] or Counter(after) == Counter(x[2] for x in took.values())
+    want = [x[2] for x in sorted(took.values(), key=lambda x: (x[0], x[1]))]  # a global order by slot, then place
+    assert after == want if ordered else Counter(after) == Counter(want)
     share = {s: slots[s] / n for s in keys}
     seen = Counter()
     for slot in range(n):
@@ -154,6 +155,20 @@ def check_mix(before, after):
         assert all(abs(seen[s] - share[s] * (slot + 1)) < 4 for s in keys)
 
 
+def test_the_mix_keeps_rows_apart_and_in_the_order_of_the_schedule(spark):
+    """Rows whose id, source and text run together to the same string, null and empty sources, and real repeats."""
+    c = "c " * 40
+    rows = [(1, c, "a:b"), (1, f"b:{c}", "a"), (11, c, "x"), (1, f"{c}", "1x"), (7, prose(30), None), (7, prose(30), ""), (8, c, None), (8, c, ""), (9, c, "a"), (9, c, "a"), (None, c, "a"), (None, f"-{c}", "a")]
+    rows += [(20 + i, prose(int(n)), f"s{i % 3}") for i, n in enumerate(RNG.integers(1, 400, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    after = read(mixing.mixed_documents(docs))
+    check_mix(rows, after, ordered=True)
+    seen = {(i, t, s) for i, t, s in after}
+    assert {(1, c, "a:b"), (1, f"b:{c}", "a"), (8, c, None), (8, c, "")} <= seen <= set(rows)
+    spans = mixing.mix_sources(docs).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) == (r.slots == 0) for r in spans)
+
+
 def check_packing(before, pieces):
     import public_tokenizers
     from tokenizers import Tokenizer
