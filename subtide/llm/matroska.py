@@ -4,13 +4,14 @@
 Tracks, Clusters of SimpleBlocks and Cues. ``packet_table`` parses any Matroska bytes: variable-length
 element ids and sizes (unknown sizes of Segment and Cluster included), clusters, simple blocks and block
 groups, all four lacings and cues, into one row per packet with track, timestamp, byte range and, where its
-block group tells it, duration. Times are nanoseconds: ticks times the file's timestamp scale.
+block group tells it, duration, and into a table of tracks. Times are nanoseconds: ticks times the timestamp
+scale of the segment, wherever in it the scale stands.
 
 Each file is handled inside one row, in runs of about ``RUN_BYTES``; nothing is gathered.
 
 Defined results: a null or empty payload becomes 64 zero bytes; null or broken media gives the packets
-read up to the break and its ``error``, so does nesting deeper than ``DEEPEST``; equal payloads give equal
-media; columns named like the added ones are replaced, other columns stay.
+read up to the break and its ``error``, so does nesting deeper than ``DEEPEST`` and a number that its column
+cannot hold; equal payloads give equal media; columns named like the added ones are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -36,12 +37,15 @@ TIMESTAMP_SCALE, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, SAMPLING, CH
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_TYPE_VERSION = 0x4282, 0x4287
+FIELDS = {BLOCK, BLOCK_DURATION, REFERENCE_BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, SAMPLING, CHANNELS, BIT_DEPTH}
 MASTERS = {SEGMENT, TRACKS, TRACK, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, INFO, AUDIO}
 
 PACKET = pa.struct([("track", pa.int32()), ("packet", pa.int32()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("cluster", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("duration", pa.int64())])
 CUE = pa.struct([("time", pa.int64()), ("track", pa.int32()), ("position", pa.int64())])
+TRACK_ROW = pa.struct([("number", pa.int32()), ("uid", pa.string()), ("type", pa.int32()), ("codec", pa.string()), ("sampling", pa.float64()), ("channels", pa.int32()), ("bit_depth", pa.int32())])
 PACKETS_DDL = "array<struct<track:int,packet:int,timestamp:bigint,keyframe:boolean,lacing:string,cluster:int,offset:bigint,size:bigint,duration:bigint>>"
 CUES_DDL = "array<struct<time:bigint,track:int,position:bigint>>"
+TRACKS_DDL = "array<struct<number:int,uid:string,type:int,codec:string,sampling:double,channels:int,bit_depth:int>>"
 
 
 def _size(n: int) -> bytes:
@@ -132,12 +136,10 @@ def _frames(data: bytes, at: int, end: int, flags: int) -> tuple[str, list[tuple
             sizes.append(size + data[at])
             at += 1
     else:
-        size, at, _ = _vint(data, at)
-        sizes = [size]
-        for _ in range(n - 2):
-            delta, at, width = _vint(data, at)
-            sizes.append(sizes[-1] + delta - ((1 << (7 * width - 1)) - 1))
-        sizes = sizes[: n - 1]
+        sizes = []
+        for k in range(n - 1):  # the first size, then differences; the last frame has none
+            size, at, width = _vint(data, at)
+            sizes.append(sizes[-1] + size - ((1 << (7 * width - 1)) - 1) if k else size)
     if kind != 2:
         sizes.append(end - at - sum(sizes))
     found = []
@@ -149,62 +151,112 @@ def _frames(data: bytes, at: int, end: int, flags: int) -> tuple[str, list[tuple
     return ("", "xiph", "fixed", "ebml")[kind], found
 
 
-def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
-    """Packets, cues (positions from the start of the file) and the error that ended the parse, if any."""
-    packets: list[tuple] = []
-    cues: list[tuple] = []
-    state = {"time": 0, "cluster": -1, "segment": 0, "scale": 1_000_000}
-
-    def block(at: int, end: int, simple: bool, keyframe: bool, duration: int | None = None) -> None:
-        track, at, _ = _vint(data, at)
-        offset, flags = struct.unpack_from(">hB", data, at)
-        lacing, frames = _frames(data, at + 3, end, flags)
+def _held(n: int, bits: int, what: str) -> int:
+    """``n``, if a signed column of so many bits holds it."""
+    if not -(1 << bits - 1) <= n < 1 << bits - 1:
+        raise ValueError(f"{what} {n} is out of range")
+    return n
+
+
+class Parse:
+    """One pass over a file: packets and cues in ticks with their segment, tracks, and each segment's scale."""
+
+    def __init__(self, data: bytes):
+        self.data, self.packets, self.cues, self.tracks = data, [], [], []
+        self.time, self.cluster, self.segment, self.scales = 0, -1, 0, [1_000_000]
+
+    def number(self, span: tuple[int, int]) -> int:
+        if span[1] - span[0] > 8:
+            raise ValueError(f"number of {span[1] - span[0]} bytes at byte {span[0]}")
+        return int.from_bytes(self.data[slice(*span)], "big")
+
+    def real(self, span: tuple[int, int]) -> float:
+        raw = self.data[slice(*span)]
+        return struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if raw else 0.0
+
+    def block(self, at: int, end: int, simple: bool, keyframe: bool, duration: int | None = None) -> None:
+        track, at, _ = _vint(self.data, at)
+        _held(track, 32, "track number")
+        if at + 3 > end:
+            raise ValueError(f"block header cut off at byte {at}")
+        offset, flags = struct.unpack_from(">hB", self.data, at)
+        lacing, frames = _frames(self.data, at + 3, end, flags)
         for start, size in frames:
-            own = None if duration is None else duration * state["scale"] // len(frames)
-            packets.append((track, len(packets), (state["time"] + offset) * state["scale"], bool(flags & 0x80) if simple else keyframe, lacing, state["cluster"], start, size, own))
+            self.packets.append((track, len(self.packets), self.time + offset, bool(flags & 0x80) if simple else keyframe, lacing, self.cluster, start, size, None if duration is None else (duration, len(frames)), len(self.scales) - 1))
 
-    def number(span: tuple[int, int]) -> int:
-        return int.from_bytes(data[slice(*span)], "big")
+    def track(self, found: dict) -> None:
+        numbers = [_held(self.number(found[i]), 32, "track field") if i in found else None for i in (TRACK_NUMBER, TRACK_TYPE, CHANNELS, BIT_DEPTH)]
+        uid = str(self.number(found[TRACK_UID])) if TRACK_UID in found else None
+        codec = self.data[slice(*found[CODEC])].rstrip(b"\0").decode("ascii", "replace") if CODEC in found else None
+        self.tracks.append((numbers[0], uid, numbers[1], codec, self.real(found[SAMPLING]) if SAMPLING in found else None, numbers[2], numbers[3]))
 
-    def walk(at: int, end: int, into: dict, depth: int) -> None:
+    def walk(self, at: int, end: int, into: dict, depth: int) -> None:
         if depth > DEEPEST:
             raise ValueError(f"elements nested deeper than {DEEPEST} at byte {at}")
         while at < end:
-            ident, at, _ = _vint(data, at, True)
-            size, at, width = _vint(data, at)
+            ident, at, _ = _vint(self.data, at, True)
+            size, at, width = _vint(self.data, at)
             unknown = size == (1 << (7 * width)) - 1
             stop = end if unknown else at + size
             if stop > end:
                 raise ValueError(f"element {ident:#x} exceeds its parent at byte {at}")
             if ident == SEGMENT:
-                state["segment"] = at
+                self.segment = at
+                self.scales.append(1_000_000)
             elif ident == CLUSTER:
-                state["cluster"] += 1
+                self.cluster += 1
                 if unknown:
                     continue  # its children follow on this level until the next cluster
             elif ident == CLUSTER_TIME:
-                state["time"] = number((at, stop))
+                self.time = self.number((at, stop))
             elif ident == TIMESTAMP_SCALE:
-                state["scale"] = number((at, stop))
+                self.scales[-1] = self.number((at, stop))
             elif ident == SIMPLE_BLOCK:
-                block(at, stop, True, False)
-            elif ident in (BLOCK, BLOCK_DURATION, REFERENCE_BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
+                self.block(at, stop, True, False)
+            elif ident in FIELDS:
                 into[ident] = (at, stop)
             if ident in MASTERS:
-                inner = into if ident == CUE_POSITIONS else {}
-                walk(at, stop, inner, depth + 1)
+                inner = into if ident in (CUE_POSITIONS, AUDIO) else {}
+                self.walk(at, stop, inner, depth + 1)
                 if ident == BLOCK_GROUP and BLOCK in inner:
-                    block(*inner[BLOCK], False, REFERENCE_BLOCK not in inner, number(inner[BLOCK_DURATION]) if BLOCK_DURATION in inner else None)
+                    self.block(*inner[BLOCK], False, REFERENCE_BLOCK not in inner, self.number(inner[BLOCK_DURATION]) if BLOCK_DURATION in inner else None)
+                elif ident == TRACK:
+                    self.track(inner)
                 elif ident == CUE_POINT and CUE_TIME in inner and CUE_CLUSTER in inner:
-                    time, track, position = (number(inner[i]) if i in inner else 0 for i in (CUE_TIME, CUE_TRACK, CUE_CLUSTER))
-                    cues.append((time * state["scale"], track, state["segment"] + position))
+                    time, track, position = (self.number(inner[i]) if i in inner else 0 for i in (CUE_TIME, CUE_TRACK, CUE_CLUSTER))
+                    self.cues.append((time, _held(track, 32, "track number"), _held(self.segment + position, 64, "position"), len(self.scales) - 1))
             at = stop
 
+    def timed(self) -> str | None:
+        """Ticks to nanoseconds in packets and cues; what cannot be held ends the list, and the error is given."""
+        packets, cues, error = [], [], None
+        try:
+            for *row, duration, segment in self.packets:
+                scale = self.scales[segment]
+                row[2] = _held(row[2] * scale, 64, "timestamp")
+                packets.append((*row, None if duration is None else _held(duration[0] * scale // duration[1], 64, "duration")))
+            for time, track, position, segment in self.cues:
+                cues.append((_held(time * self.scales[segment], 64, "cue time"), track, position))
+        except ValueError as e:
+            error = str(e)
+        self.packets, self.cues = packets, cues
+        return error
+
+
+def parsed(data: bytes) -> tuple[list[tuple], list[tuple], list[tuple], str | None]:
+    """Packets, cues (positions from the start of the file), tracks and the error that ended the parse, if any."""
+    file, error = Parse(data), None
     try:
-        walk(0, len(data), {}, 0)
+        file.walk(0, len(data), {}, 0)
     except (ValueError, IndexError, struct.error) as e:
-        return packets, cues, str(e)
-    return packets, cues, None
+        error = str(e)
+    late = file.timed()
+    return file.packets, file.cues, file.tracks, error or late
+
+
+def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
+    packets, cues, _, error = parsed(data)
+    return packets, cues, error
 
 
 def store(df: DataFrame, column: str, media: str = "media") -> DataFrame:
@@ -225,19 +277,19 @@ def store(df: DataFrame, column: str, media: str = "media") -> DataFrame:
 
 
 def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with ``packets``, ``cues`` and ``error``; explode ``packets`` for a row each."""
-    added = ("packets", "cues", "error")
+    """``df`` with ``packets``, ``cues``, ``tracks`` and ``error``; explode ``packets`` for a row each."""
+    added = ("packets", "cues", "tracks", "error")
     kept = [c for c in df.columns if c not in added]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in it for part in _runs(whole, kept.index(media))):
-            parsed = [demux(x) if x is not None else ([], [], "no media") for x in batch.column(kept.index(media)).to_pylist()]
-            names = ([f.name for f in PACKET], [f.name for f in CUE])
-            lists = [pa.array([[dict(zip(names[k], row, strict=True)) for row in p[k]] for p in parsed], pa.list_(t)) for k, t in enumerate((PACKET, CUE))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([p[2] for p in parsed], pa.string())], names=[*kept, *added])
+            found = [parsed(x) if x is not None else ([], [], [], "no media") for x in batch.column(kept.index(media)).to_pylist()]
+            kinds = (PACKET, CUE, TRACK_ROW)
+            lists = [pa.array([[dict(zip([f.name for f in t], row, strict=True)) for row in p[k]] for p in found], pa.list_(t)) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([p[3] for p in found], pa.string())], names=[*kept, *added])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(*kept).mapInArrow(lean(batches), f"{fields}, packets {PACKETS_DDL}, cues {CUES_DDL}, error string")
+    return df.select(*kept).mapInArrow(lean(batches), f"{fields}, packets {PACKETS_DDL}, cues {CUES_DDL}, tracks {TRACKS_DDL}, error string")
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -248,7 +300,7 @@ def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def payload_digests(df: DataFrame, media: str = "media") -> DataFrame:
     """The key columns with digests and features of the payload, read back through the packets' byte ranges."""
-    dropped = (media, "packets", "cues", "error")
+    dropped = (media, "packets", "cues", "tracks", "error")
     kept = [c for c in df.columns if c not in dropped]
     schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_packets int, n_cues int, feature string"
 
