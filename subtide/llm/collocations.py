@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from subtide.llm.common import SpanHasher, fan_out, flat, lean, lowered, mix, pieces, tabled, word_spans
 
 LEAST, MOST_WORDS, TOP, SHARE, SALTS = 30, 4, 2000, (80, 100), 16
-BLOCK_BYTES, FILTER_BITS, KEY_BITS = 8 << 20, 26, 40
+BLOCK_BYTES, FILTER_BITS, KEY_BITS = 4 << 20, 26, 40
 _C = mix(np.arange(201, 265, dtype=np.uint64)) | np.uint64(1)
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
