@@ -52,7 +52,12 @@ def translate(requests: DataFrame, cache: DataFrame, scorer: Callable[[Column],
 def summary(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """count, median, p95 (linear interpolation) and maximum of each series."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.round(p[0], 6).alias("median"), F.round(p[1], 6).alias("p95"), F.round(F.max(value), 6).alias("most"))
+    return samples.groupBy(*keys).agg(F.count(value).alias("n"), thousandths(p[0]).alias("median"), thousandths(p[1]).alias("p95"), thousandths(F.max(value)).alias("most"))
+
+
+def thousandths(x: Column) -> Column:
+    """Three places; what is left of binary fractions goes first, so that halves are halves."""
+    return F.round(F.round(x, 9), 3)
 
 
 def recent_samples(samples: DataFrame, keys: list[str], order: list[Column], most: int = 1000) -> DataFrame:
@@ -67,10 +72,17 @@ def quality_level(segments: DataFrame, keys: list[str]) -> DataFrame:
     return got.withColumn("level", F.when(low, "low").when(watch, "watch").otherwise("good"))
 
 
-def epochs(messages: DataFrame, order: list[str]) -> DataFrame:
-    """messages(client_id, type) with epoch (after gaps and configuration) and generation (after finals, gaps and flushes)."""
+def epochs(messages: DataFrame, order: list[str], settings: tuple[str, ...] = ("source_lang", "target_lang", "prompt"), defaults: tuple[str, ...] = ("nl", "en", "")) -> DataFrame:
+    """messages(client_id, type, settings) with epoch (after gaps, and configuration that changes a setting) and generation (after finals, gaps and flushes).
+
+    A setting that a configuration does not tell is at its default, as are all before the first one.
+    """
     by = W.partitionBy("client_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return messages.withColumns({"epoch": F.count_if(F.col("type").isin("audio_gap", "config")).over(by), "generation": F.count_if(F.col("type").isin("final", "audio_gap", "flush")).over(by)})
+    own = F.struct(*[F.coalesce(s, F.lit(v)).alias(s) for s, v in zip(settings, defaults, strict=True)])
+    told = F.when(F.col("type") == "config", own)
+    before = F.coalesce(F.last(told, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)), F.struct(*[F.lit(v).alias(s) for s, v in zip(settings, defaults, strict=True)]))
+    marked = messages.withColumn("__bump", (F.col("type") == "audio_gap") | F.coalesce(told != before, F.lit(False)))
+    return marked.withColumns({"epoch": F.count_if("__bump").over(by), "generation": F.count_if(F.col("type").isin("final", "audio_gap", "flush")).over(by)}).drop("__bump")
 
 
 def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from subtide.functions import arrays, text
-from subtide.operators import cues, sessions
+from subtide.operators import cues, sessions, transcripts
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -88,14 +88,18 @@ _REQUESTS = r"""requests AS (SELECT doc_id AS request_id, text, lang AS source,
 cache AS (SELECT cache_key, md5(min(plain) || '#') AS translation, max(request_id) AS last_access, count(*) AS hit_count FROM requests WHERE length(text) >= 300 GROUP BY cache_key)"""
 
 
-def messages_of(spark, d) -> DataFrame:
+def messages_of(spark, d, events: DataFrame | None = None) -> DataFrame:
     kind = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, ["click", "error", "view"])), F.array(*map(F.lit, ["final", "audio_gap", "partial"]))), F.col("event_type"))
     k = F.from_json("props", "k int")["k"].cast("bigint")
-    return _t(spark, d, "events").select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), F.coalesce(kind, F.when(F.col("event_type") == "purchase", "config").otherwise("flush")).alias("type"), k.alias("k"), "value")
+    config = F.col("event_type") == "purchase"
+    settings = {"source_lang": F.when(config, F.when(k % 3 == 0, "en").otherwise("nl")), "target_lang": F.when(config, "en"), "prompt": F.when(config, F.when(k % 10 == 0, "names").otherwise(""))}
+    events = _t(spark, d, "events") if events is None else events
+    return events.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), F.coalesce(kind, F.when(config, "config").otherwise("flush")).alias("type"), k.alias("k"), "value", *[v.alias(c) for c, v in settings.items()])
 
 
 _MESSAGES = """messages AS (SELECT user_id AS client_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'final' WHEN 'error' THEN 'audio_gap' WHEN 'view' THEN 'partial' WHEN 'purchase' THEN 'config' ELSE 'flush' END AS type,
-               CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events)"""
+               CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, CASE WHEN event_type = 'purchase' THEN CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN 'en' ELSE 'nl' END END AS source_lang,
+               CASE WHEN event_type = 'purchase' THEN CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0 THEN 'names' ELSE '' END END AS prompt FROM events)"""
 
 
 def pairs_of(spark, d) -> DataFrame:
@@ -370,7 +374,8 @@ def src1_messages(spark, d):
     return messages_of(spark, d).select("client_id", "seq", "type", "k")
 
 
-_EPOCHS = f"WITH {_MESSAGES}, numbered AS (SELECT *, count(*) FILTER (type IN ('audio_gap', 'config')) OVER o AS epoch, count(*) FILTER (type IN ('final', 'audio_gap', 'flush')) OVER o AS generation FROM messages WINDOW o AS (PARTITION BY client_id ORDER BY seq))"
+_EPOCHS = f"""WITH {_MESSAGES}, judged AS (SELECT *, source_lang || '|' || prompt <> coalesce(last_value(source_lang || '|' || prompt IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'nl|') AS changed FROM messages),
+numbered AS (SELECT *, count(*) FILTER (type = 'audio_gap' OR (type = 'config' AND changed)) OVER o AS epoch, count(*) FILTER (type IN ('final', 'audio_gap', 'flush')) OVER o AS generation FROM judged WINDOW o AS (PARTITION BY client_id ORDER BY seq))"""
 
 
 @query(f"{_EPOCHS} SELECT client_id, seq, epoch, generation FROM numbered")
@@ -378,15 +383,27 @@ def win6_epochs(spark, d):
     return sessions.epochs(messages_of(spark, d), ["seq"]).select("client_id", "seq", "epoch", "generation")
 
 
-@query(f"{_EPOCHS} SELECT client_id, seq FROM (SELECT *, lag(epoch) OVER (PARTITION BY client_id ORDER BY seq) AS was FROM numbered) WHERE type = 'final' AND epoch = coalesce(was, epoch)")
+def jobs_of(spark, d, kind: str) -> DataFrame:
+    """Jobs of one kind: their epoch and generation when they begin, and those of the session when they complete, 20 k messages later."""
+    states = sessions.epochs(messages_of(spark, d), ["seq"])
+    jobs = states.where(F.col("type") == kind).select("client_id", F.col("seq").alias("begun"), "k", "epoch", "generation", (F.col("seq") + F.col("k") * 20).alias("at"))
+    return transcripts.as_of(jobs, states.select("client_id", F.col("seq").alias("at"), "epoch", "generation"), "client_id", "at", ["epoch", "generation"])
+
+
+_JOBS = f"""{_EPOCHS}, jobs AS (SELECT client_id, seq AS begun, type, k, epoch, generation, seq + k * 20 AS at FROM numbered),
+completed AS (SELECT j.*, n.epoch AS state_epoch, n.generation AS state_generation FROM jobs j ASOF JOIN numbered n ON j.client_id = n.client_id AND j.at >= n.seq)"""
+
+
+@query(f"{_JOBS} SELECT client_id, begun AS seq, epoch FROM completed WHERE type = 'final' AND epoch = state_epoch")
 def flt9_stale_epoch(spark, d):
-    was = F.lag("epoch").over(W.partitionBy("client_id").orderBy("seq"))
-    return sessions.epochs(messages_of(spark, d), ["seq"]).withColumn("was", was).where("type = 'final' AND epoch = coalesce(was, epoch)").select("client_id", "seq")
+    """Final results whose epoch is still the session's when they complete."""
+    return jobs_of(spark, d, "final").where("epoch = state_epoch").select("client_id", F.col("begun").alias("seq"), "epoch")
 
 
-@query(f"{_EPOCHS} SELECT client_id, seq FROM numbered WHERE type = 'partial' AND k > 0 AND generation % 2 = 0")
+@query(f"{_JOBS} SELECT client_id, begun AS seq, generation FROM completed WHERE type = 'partial' AND k % 10 <> 0 AND generation = state_generation")
 def flt10_stale_partial(spark, d):
-    return sessions.epochs(messages_of(spark, d), ["seq"]).where("type = 'partial' AND k > 0 AND generation % 2 = 0").select("client_id", "seq")
+    """Partial results with a text (here: one in ten has none) and of the generation that is current when they complete."""
+    return jobs_of(spark, d, "partial").where("k % 10 <> 0 AND generation = state_generation").select("client_id", F.col("begun").alias("seq"), "generation")
 
 
 @query(f"""{_EPOCHS} SELECT client_id, epoch, count(*) AS n, max(generation) AS generation, CAST(sum(CASE WHEN type = 'audio_gap' THEN greatest(0, k) ELSE 0 END) AS BIGINT) AS gap FROM numbered GROUP BY ALL""")
@@ -446,10 +463,42 @@ def str13_hourly_metrics(spark, d):
 @query(f"""WITH {_MESSAGES}, p AS (SELECT * FROM messages WHERE type = 'partial'), f AS (SELECT * FROM messages WHERE type = 'final')
 SELECT coalesce(f.client_id, p.client_id) AS client_id, coalesce(f.k, p.k) AS k, count(*) AS n, count(p.seq) AS pending, count(f.seq) AS final FROM p FULL JOIN f ON p.client_id = f.client_id AND p.k = f.k GROUP BY 1, 2""")
 def jn5_reconcile(spark, d):
-    m = messages_of(spark, d)
-    p, f = m.where("type = 'partial'").alias("p"), m.where("type = 'final'").alias("f")
-    both = p.join(f, (F.col("p.client_id") == F.col("f.client_id")) & (F.col("p.k") == F.col("f.k")), "full_outer")
-    return both.groupBy(F.coalesce("f.client_id", "p.client_id").alias("client_id"), F.coalesce("f.k", "p.k").alias("k")).agg(F.count("*").alias("n"), F.count("p.seq").alias("pending"), F.count("f.seq").alias("final"))
+    """The numbers of pairs of a pending and a final message with one id, without making the pairs."""
+    m = messages_of(spark, d).where("type IN ('partial', 'final')")
+    counts = m.groupBy("client_id", "k").agg(F.count_if(F.col("type") == "partial").alias("p"), F.count_if(F.col("type") == "final").alias("f"))
+    pairs = F.greatest("p", F.lit(1)) * F.greatest("f", F.lit(1))
+    return counts.select("client_id", "k", pairs.alias("n"), F.when(F.col("p") > 0, pairs).otherwise(0).alias("pending"), F.when(F.col("f") > 0, pairs).otherwise(0).alias("final"))
+
+
+def transcript_of(messages: DataFrame) -> DataFrame:
+    """Partial and final messages as transcript messages with gaps in what they tell."""
+    seq, final = F.col("seq"), F.col("type") == "final"
+    told = F.when(final & (seq % 2 == 0), seq * 100)
+    return messages.where("type IN ('partial', 'final')").select(
+        "client_id", "seq", F.when(final, "final").otherwise("pending").alias("kind"), F.col("k").alias("id"), (seq * 100).alias("at_ms"),
+        F.when(~final, F.concat(F.lit("said "), seq)).when(seq % 3 == 1, "").when(seq % 3 == 2, F.concat(F.lit("heard "), seq)).alias("source_text"), F.when(final & (seq % 4 != 0), F.concat(F.lit("t"), seq)).alias("translation"),
+        F.when(seq % 5 == 0, "en").alias("source_lang"), F.when(seq % 7 == 0, "de").alias("target_lang"), F.when(seq % 6 == 0, "fast").alias("mode"), (told - 50).alias("start_ms"), (told + 1000).alias("end_ms"),
+    )
+
+
+def _last_sql(column: str, more: str = "true") -> str:
+    return f"arg_max({column}, seq) FILTER (nullif({column}, '') IS NOT NULL AND {more})"
+
+
+_MERGED = f"""WITH {_MESSAGES}, m AS (SELECT client_id, seq, type = 'final' AS final, k AS id, seq * 100 AS at_ms, CASE WHEN type = 'partial' THEN 'said ' || seq WHEN seq % 3 = 1 THEN '' WHEN seq % 3 = 2 THEN 'heard ' || seq END AS source_text,
+  CASE WHEN type = 'final' AND seq % 4 <> 0 THEN 't' || seq END AS translation, CASE WHEN seq % 5 = 0 THEN 'en' END AS source_lang, CASE WHEN seq % 7 = 0 THEN 'de' END AS target_lang, CASE WHEN seq % 6 = 0 THEN 'fast' END AS mode,
+  CASE WHEN type = 'final' AND seq % 2 = 0 THEN seq * 100 - 50 END AS start_ms, CASE WHEN type = 'final' AND seq % 2 = 0 THEN seq * 100 + 1000 END AS end_ms FROM messages WHERE type IN ('partial', 'final')),
+n AS (SELECT *, count(*) FILTER (NOT final) OVER (PARTITION BY client_id, id ORDER BY seq) AS item FROM m),
+i AS (SELECT client_id, id, item, min(seq) AS opened, arg_min(at_ms, seq) AS at_ms, min(seq) FILTER (final) AS first_final, arg_max(start_ms, seq) FILTER (start_ms IS NOT NULL) AS told_start, arg_max(end_ms, seq) FILTER (end_ms IS NOT NULL) AS told_end,
+  {_last_sql('source_text')} AS source_text, {_last_sql('translation', 'final')} AS translation, {_last_sql('source_lang')} AS source_lang, {_last_sql('target_lang')} AS target_lang, {_last_sql('mode')} AS mode FROM n GROUP BY client_id, id, item),
+s AS (SELECT *, lead(at_ms) OVER o AS following, lead(opened) OVER o AS opens FROM i WINDOW o AS (PARTITION BY client_id ORDER BY opened))
+SELECT client_id, id, item, coalesce(told_start, at_ms) AS start_ms, coalesce(told_end, CASE WHEN opens IS NOT NULL AND coalesce(first_final > opens, true) THEN greatest(at_ms + 800, following - 120) ELSE at_ms + 3500 END) AS end_ms, coalesce(source_text, '') AS source_text,
+  CASE WHEN first_final IS NULL THEN '' ELSE coalesce(translation, 'Translation unavailable') END AS translation, coalesce(source_lang, 'nl') AS source_lang, coalesce(target_lang, 'en') AS target_lang, coalesce(mode, 'balanced') AS mode, first_final IS NULL AS pending FROM s"""
+
+
+@query(_MERGED)
+def jn5_merged_rows(spark, d):
+    return transcripts.merged(transcript_of(messages_of(spark, d)))
 
 
 # Histories
@@ -548,13 +597,13 @@ def jn11_access_stats(spark, d):
 # Metrics
 
 
-@query("SELECT user_id, event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM events GROUP BY ALL")
 def agg1_summary(spark, d):
     return sessions.summary(_t(spark, d, "events"), ["user_id", "event_type"])
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
-SELECT user_id, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM r WHERE i <= 20 GROUP BY ALL""")
+SELECT user_id, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM r WHERE i <= 20 GROUP BY ALL""")
 def win1_recent_samples(spark, d):
     return sessions.summary(sessions.recent_samples(_t(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20), ["user_id"])
 

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subtide.functions import text
-from subtide.plans.registry import _MESSAGES, _SQL, _t, messages_of, query
+from subtide.operators import transcripts
+from subtide.plans.registry import _MERGED, _MESSAGES, _t, messages_of, query, transcript_of
+from subtide.sources.history import History
 from subtide.sources.reports import working_folder
-from subtide.streaming import machines
+from subtide.streaming import keyed, live, machines
 from subtide.streaming.fold import fold, stream_fold
 
 
@@ -23,15 +25,14 @@ def chunks_of(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), at.alias("at_ms"), F.lit(3200).alias("n_samples"), (F.col("value") / 1000).alias("level"), (F.col("event_type") == "error").alias("asr_busy"))
 
 
-def streamed(rows: DataFrame, spark, mode: str = "append") -> DataFrame:
-    """What the stream writes until its input ends, as a table in the shared folder; each micro-batch replaces its own part, so a retried one adds nothing."""
+def streamed(rows: DataFrame, spark) -> DataFrame:
+    """What the stream appends until its input ends, as a table in the shared folder; each micro-batch replaces its own part, so a retried one adds nothing."""
     base = working_folder(spark)
-    whole = mode == "complete"
 
     def write(frame: DataFrame, k: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{base}/table" if whole else f"{base}/table/batch={k}")
+        frame.write.mode("overwrite").parquet(f"{base}/table/batch={k}")
 
-    running = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    running = rows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
     return spark.read.parquet(f"{base}/table").drop("batch")
 
@@ -99,16 +100,127 @@ def str12_merged_segments(spark, d):
     return fold(rows, "client_id", ["seq"], machines.MergedSegments())
 
 
-@query(_SQL["str13_hourly_metrics"])
+@query("""SELECT user_id AS client_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events
+GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
 def str13_metrics_stream(spark, d):
+    """Hours that the watermark, an hour behind, has passed: each is given once and then forgotten."""
     rows = _stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
     hourly = rows.groupBy(F.col("user_id").alias("client_id"), F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return streamed(hourly.select("client_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total"), spark, "complete")
+    return streamed(hourly.select("client_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total"), spark)
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS c FROM events), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g)
-SELECT user_id AS client_id, min(ts) AS opened_at, max(ts) + INTERVAL 6 HOUR AS closed_at, count(*) AS events FROM s GROUP BY user_id, n""")
+# Whole sessions. On their clock an hour of the events is a second.
+
+_CLOCK = "epoch_ms(ts) // 3600"
+
+
+def watched_of(events: DataFrame) -> DataFrame:
+    at = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 3600")
+    kind = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "done").when((F.col("event_type") == "error") & (F.col("value") > 100), "close").otherwise("other")
+    return events.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), at.alias("at_ms"), (F.col("value") / 1000).alias("level"), kind.alias("kind"))
+
+
+def _end(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.max("at_ms"), F.lit(0))).first()[0]
+
+
+_SILENCE = f"""WITH r AS (SELECT user_id AS client_id, event_id AS seq, {_CLOCK} AS tm, value / 1000 > 0.005 AS loud FROM events), until AS (SELECT max(tm) AS until FROM r),
+begun AS (SELECT client_id, min(tm) AS began, min(tm) FILTER (loud) AS first FROM r GROUP BY client_id), heard AS (SELECT client_id, tm, lag(tm) OVER o AS was, lead(tm) OVER o AS next FROM r WHERE loud WINDOW o AS (PARTITION BY client_id ORDER BY tm, seq))
+SELECT client_id, began + 8000 AS at_ms, 'initial_silence' AS event, 8000 AS silent_ms FROM begun, until WHERE coalesce(first >= began + 8000, true) AND began + 8000 <= until
+UNION ALL SELECT client_id, tm + 60000, 'capture_loss', 60000 FROM heard, until WHERE coalesce(next >= tm + 60000, true) AND tm + 60000 <= until
+UNION ALL SELECT client_id, tm, 'restored', tm - was FROM heard WHERE tm >= was + 60000
+UNION ALL SELECT client_id, first, 'restored', NULL FROM begun WHERE first >= began + 8000"""
+
+
+@query(_SILENCE)
+def str9_silence_watch(spark, d):
+    rows = watched_of(_t(spark, d, "events"))
+    return fold(rows, "client_id", ["at_ms", "seq"], live.SilenceWatch(), until=_end(rows))
+
+
+@query(_SILENCE)
+def str9_silence_stream(spark, d):
+    return streamed(keyed.timed_stream(watched_of(_stream(spark, d, "events")), "client_id", "at_ms", ["seq"], live.SilenceWatch()), spark)
+
+
+_CLOSED = f"""WITH r AS (SELECT user_id AS client_id, event_id AS seq, {_CLOCK} AS tm, CASE WHEN event_type = 'view' THEN 'queued' WHEN event_type = 'click' THEN 'done' WHEN event_type = 'error' AND value > 100 THEN 'close' ELSE 'other' END AS kind FROM events),
+c AS (SELECT *, CASE WHEN tm - lag(tm) OVER o >= 6000 OR lag(kind) OVER o = 'close' THEN 1 ELSE 0 END AS cut FROM r WINDOW o AS (PARTITION BY client_id ORDER BY tm, seq)), s AS (SELECT *, sum(cut) OVER (PARTITION BY client_id ORDER BY tm, seq) AS session FROM c),
+g AS (SELECT client_id, session, min(tm) AS opened_ms, max(tm) AS last, count(*) AS events, greatest(0, count(*) FILTER (kind = 'queued') - count(*) FILTER (kind = 'done')) AS cancelled, bool_or(kind = 'close') AS told FROM s GROUP BY client_id, session)
+SELECT client_id, opened_ms, CASE WHEN told THEN last ELSE last + 6000 END AS closed_ms, events, cancelled, CASE WHEN told THEN 'close' ELSE 'idle' END AS reason FROM g WHERE told OR last + 6000 <= (SELECT max(tm) FROM r)"""
+
+
+@query(_CLOSED)
+def str14_session_close(spark, d):
+    rows = watched_of(_t(spark, d, "events"))
+    return fold(rows, "client_id", ["at_ms", "seq"], live.SessionClose(idle_ms=6000), until=_end(rows))
+
+
+@query(_CLOSED)
 def str14_sessions_stream(spark, d):
-    rows = _stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
-    found = rows.groupBy(F.col("user_id").alias("client_id"), F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("events"))
-    return streamed(found.select("client_id", F.col("w.start").cast("timestamp_ntz").alias("opened_at"), F.col("w.end").cast("timestamp_ntz").alias("closed_at"), "events"), spark, "complete")
+    """Sessions that ended: each is given once, by its close or by a timer, and its state dropped."""
+    return streamed(keyed.timed_stream(watched_of(_stream(spark, d, "events")), "client_id", "at_ms", ["seq"], live.SessionClose(idle_ms=6000)), spark)
+
+
+@query(_MERGED)
+def str6_upsert_stream(spark, d):
+    events = _stream(spark, d, "events")
+    return transcripts.latest_version(streamed(keyed.transcript_stream(transcript_of(messages_of(spark, d, events)), ttl_ms=30 * 86_400_000), spark))
+
+
+@query()
+def str7_live_sessions(spark, d):
+    """Segments, sentences and clock of sessions with gaps and changes of settings in mid-utterance."""
+    m = messages_of(spark, d)
+    seq, k, audio = F.col("seq"), F.col("k"), F.col("type").isin("partial", "final") | ((F.col("type") == "flush") & (F.col("seq") % 50 != 0))
+    said = F.when(k % 4 == 0, F.concat(F.lit("and that is "), k, F.lit("."))).otherwise(F.concat(F.lit("word number "), k))
+    rows = m.select(
+        "client_id", "seq", F.when(audio, "audio").otherwise(F.col("type")).alias("kind"), F.when(audio, 8000).alias("n_samples"), (F.col("value") / 1000).alias("level"), said.alias("text"), (F.col("value") / 40).alias("rtf"), (k * 10).alias("gap_ms"),
+        F.when(k % 3 == 0, "fast").when(k % 3 == 1, "quality").otherwise("balanced").alias("mode"), "source_lang", "target_lang", "prompt",
+    )
+    return fold(rows, "client_id", ["seq"], live.LiveSession())
+
+
+@query(f"""WITH RECURSIVE {_MESSAGES}, r AS (SELECT client_id, seq, row_number() OVER (PARTITION BY client_id ORDER BY seq) AS i, CASE WHEN type = 'config' THEN CASE k % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'quality' ELSE 'balanced' END END AS told, value / 40 AS rtf FROM messages WHERE type IN ('final', 'config')),
+modes(m, s, l, fs, fl) AS (VALUES ('fast', 0.35::DOUBLE, 3.0::DOUBLE, 0.25::DOUBLE, 1.8::DOUBLE), ('balanced', 0.5::DOUBLE, 4.5::DOUBLE, 0.35::DOUBLE, 2.5::DOUBLE), ('quality', 0.7::DOUBLE, 5.8::DOUBLE, 0::DOUBLE, 0::DOUBLE)),
+f AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, 'balanced' AS mode, 0.5::DOUBLE AS silence, 4.5::DOUBLE AS longest FROM r
+UNION ALL SELECT r.client_id, r.i, r.seq, CASE WHEN told IS NOT NULL THEN told WHEN f.mode = 'balanced' AND rtf > 1.2 THEN 'fast' ELSE f.mode END,
+ CASE WHEN told IS NOT NULL THEN t.s WHEN f.mode = 'balanced' AND rtf > 1.2 THEN 0.35::DOUBLE WHEN f.mode = 'quality' OR rtf <= 0 THEN silence WHEN rtf > 1 THEN greatest(o.fs, silence * 0.9::DOUBLE) WHEN rtf < 0.45 THEN o.s ELSE silence END,
+ CASE WHEN told IS NOT NULL THEN t.l WHEN f.mode = 'balanced' AND rtf > 1.2 THEN 3.0::DOUBLE WHEN f.mode = 'quality' OR rtf <= 0 THEN longest WHEN rtf > 1 THEN greatest(o.fl, longest * 0.85::DOUBLE) WHEN rtf < 0.45 THEN least(o.l, longest * 1.05::DOUBLE) ELSE longest END
+ FROM f JOIN r ON r.client_id = f.client_id AND r.i = f.i + 1 JOIN modes o ON o.m = f.mode LEFT JOIN modes t ON t.m = told)
+SELECT client_id, seq, mode, round(silence, 9) AS silence, round(longest, 9) AS longest FROM f WHERE i > 0""")
+def str10_adaptive_limits(spark, d):
+    """The limits after every recognised segment and change of mode."""
+    m = messages_of(spark, d).where("type IN ('final', 'config')")
+    mode = F.when(F.col("type") == "config", F.when(F.col("k") % 3 == 0, "fast").when(F.col("k") % 3 == 1, "quality").otherwise("balanced"))
+    found = fold(m.select("client_id", "seq", mode.alias("mode"), (F.col("value") / 40).alias("rtf")), "client_id", ["seq"], live.AdaptiveLimits())
+    return found.select("client_id", "seq", "mode", F.round("silence", 9).alias("silence"), F.round("longest", 9).alias("longest"))
+
+
+def history_jobs_of(events: DataFrame) -> DataFrame:
+    """A session job for every event, then a subtitle or, for loud errors, the session's deletion."""
+    k = F.from_json("props", "k int")["k"].cast("string")
+    session = F.struct((F.col("event_id") * 2).alias("seq"), F.lit("session").alias("kind"), F.lit(None).cast("string").alias("id"))
+    kind = F.when(F.col("event_type").isin("view", "click"), "subtitle").when((F.col("event_type") == "error") & (F.col("value") > 100), "delete")
+    second = F.struct((F.col("event_id") * 2 + 1).alias("seq"), kind.alias("kind"), F.when(kind == "subtitle", k).alias("id"))
+    rows = events.select("event_id", F.col("user_id").alias("client_id"), F.col("ts").alias("at"), F.col("event_type").alias("mode"), F.explode(F.array(session, second)).alias("job"))
+    return rows.where("job.kind IS NOT NULL").select("job.seq", "job.kind", "client_id", "job.id", F.col("at").alias("started_at"), "at", "mode", F.concat(F.lit("text "), F.col("event_id")).alias("text"))
+
+
+@query("""WITH jobs AS (SELECT 2 * event_id AS seq, 'session' AS kind, user_id AS client_id, NULL AS id, ts, event_type AS mode, event_id FROM events
+UNION ALL SELECT 2 * event_id + 1, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'subtitle' END, user_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS VARCHAR) END, ts, event_type, event_id FROM events WHERE event_type IN ('view', 'click') OR (event_type = 'error' AND value > 100)),
+gone AS (SELECT client_id, max(seq) AS deleted FROM jobs WHERE kind = 'delete' GROUP BY 1)
+SELECT 'session' AS kind, j.client_id, NULL AS id, arg_min(ts, seq) AS started_at, arg_max(ts, seq) AS at, arg_max(mode, seq) AS text FROM jobs j LEFT JOIN gone g ON j.client_id = g.client_id WHERE kind = 'session' AND coalesce(seq > deleted, true) GROUP BY j.client_id
+UNION ALL SELECT 'subtitle', s.client_id, s.id, NULL, s.ts, s.text FROM (SELECT id, arg_max(client_id, seq) AS client_id, arg_max(ts, seq) AS ts, 'text ' || arg_max(event_id, seq) AS text, max(seq) AS seq FROM jobs WHERE kind = 'subtitle' GROUP BY id) s
+LEFT JOIN gone g ON s.client_id = g.client_id WHERE coalesce(s.seq > deleted, true)""")
+def snk1_history_batches(spark, d):
+    """A history written in batches of ten days, one of them twice, with a snapshot between; sessions and subtitles as they stand at the end."""
+    store, jobs = History(spark, working_folder(spark)), history_jobs_of(_t(spark, d, "events"))
+    days = F.datediff("at", F.to_date(F.lit("2024-01-01")))
+    for number, part in enumerate((days < 10, (days >= 10) & (days < 20), days >= 20)):
+        store.apply(jobs.where(part), number)
+        if number == 1:
+            store.apply(jobs.where(part), number)
+            store.compact()
+    none = F.lit(None)
+    held = store.sessions().select(F.lit("session").alias("kind"), "client_id", none.cast("string").alias("id"), "started_at", F.col("updated_at").alias("at"), F.col("mode").alias("text"))
+    return held.unionByName(store.subtitles().select(F.lit("subtitle").alias("kind"), "client_id", "id", none.cast("timestamp_ntz").alias("started_at"), F.col("created_at").alias("at"), "text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A new path under the session's shared checkpoint folder; a temporary one where none is set (tests)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new path under the session's shared checkpoint folder. Only a local session may have none: it gets a temporary one; on a cluster that is an error."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-work-')}/{uuid.uuid4().hex}"
 
 
 def write_report(report: DataFrame, folder: str, run_id: str) -> DataFrame:
