@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 from subtide.operators.transcripts import DEFAULTS, ITEM_NAMES, ITEM_SCHEMA, PENDING_MS
 from subtide.streaming.fold import Machine, drained
 
+#: A stream's watermark begins at 0, and a row at the watermark counts as late: clocks that begin at 0 are moved on by a millisecond.
+_SHIFT = 1
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -48,7 +50,7 @@ class _InOrder(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() - _SHIFT
         rows = [json.loads(x[0]) for x in self.waiting.get()]
         ready = sorted((r for r in rows if r[self.at] <= now), key=lambda r: [r[c] for c in self.order])
         rest = [r for r in rows if r[self.at] > now]
@@ -64,14 +66,15 @@ class _InOrder(StatefulProcessor):
             self.state.update((json.dumps(state),))
         due = [r[self.at] for r in rest] + ([d] if state is not None and (d := self.machine.deadline(state)) is not None else [])
         if due:
-            self._wake_at(min(due))
+            self._wake_at(min(due), now)
         for row in out:
             yield Row(**dict(zip(self.names, (key[0], *row), strict=True)))
 
-    def _wake_at(self, at: int) -> None:
-        timers = list(self.handle.listTimers())
-        if not timers or at < min(timers):
-            self.handle.registerTimer(at)
+    def _wake_at(self, at: int, now: int = -1) -> None:
+        """One timer is enough: when it fires, the next one is set. Timers up to ``now`` are those that fire just now."""
+        timers = [t for t in self.handle.listTimers() if t > now + _SHIFT]
+        if not timers or at + _SHIFT < min(timers):
+            self.handle.registerTimer(at + _SHIFT)
 
     def close(self) -> None:
         pass
@@ -81,7 +84,7 @@ def timed_stream(rows: DataFrame, key: str, at: str, order: list[str], machine:
     """The machine's rows over a streaming DataFrame, in the order of ``at`` (milliseconds), then ``order``; final once given."""
     with_state_store(rows.sparkSession)
     schema = StructType.fromDDL(f"{key} {rows.schema[key].dataType.simpleString()}, {machine.schema}")
-    marked = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("event_time", F.timestamp_millis(F.col(at))).withWatermark("event_time", delay)
+    marked = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("event_time", F.timestamp_millis(F.col(at) + _SHIFT)).withWatermark("event_time", delay)
     return marked.groupBy(key).transformWithState(_InOrder(machine, at, [at, *order], [f.name for f in schema]), schema, "append", "eventTime")
 
 
@@ -98,7 +101,7 @@ class _Transcript(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         for row in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
-            item = self._item((row["id"],))
+            item = self._item((row["id"],), row["at_ms"])
             if row["kind"] == "pending" or item is None:
                 yield from self._close_previous(key, row)
                 number = (item["item"] if item else 0) + (row["kind"] == "pending")
@@ -112,8 +115,9 @@ class _Transcript(StatefulProcessor):
                 item |= {c: row[c] for c in ("start_ms", "end_ms") if row[c] is not None}
             yield self._kept(key, (row["id"],), row, item)
 
-    def _item(self, at: tuple) -> dict | None:
-        return dict(zip(("touched", *ITEM_NAMES), self.items.getValue(at), strict=True)) if self.items.containsKey(at) else None
+    def _item(self, at: tuple, now: int) -> dict | None:
+        item = dict(zip(("touched", *ITEM_NAMES), self.items.getValue(at), strict=True)) if self.items.containsKey(at) else None
+        return item if item is not None and now < item["touched"] + self.ttl_ms else None
 
     def _kept(self, key, at: tuple, row: dict, item: dict) -> Row:
         self.items.updateValue(at, (row["at_ms"], *(item[c] for c in ITEM_NAMES)))
@@ -124,7 +128,7 @@ class _Transcript(StatefulProcessor):
     def _close_previous(self, key, row: dict) -> Iterator[Row]:
         """A pending item ends where the next one begins."""
         at = self.last.get() if self.last.exists() else None
-        item = self._item(at) if at is not None else None
+        item = self._item(at, row["at_ms"]) if at is not None else None
         if item is not None and item["pending"]:
             item["end_ms"] = max(item["start_ms"] + 800, row["at_ms"] - 120)
             yield self._kept(key, at, row, item)
@@ -149,10 +153,10 @@ class _Transcript(StatefulProcessor):
 def transcript_stream(messages: DataFrame, ttl_ms: int = 3_600_000, delay: str = "1 minute") -> DataFrame:
     """Every change of an item, from a stream of messages (see ``transcripts.merged``); the last ``version`` of an item is its row.
 
-    An item is forgotten when the watermark of ``at_ms`` is ``ttl_ms`` past its last change; a final message after
-    that stands alone, as one that never had a pending one.
+    An item that no message changed for ``ttl_ms`` (of ``at_ms``) is forgotten, and its state dropped once the
+    watermark has passed that time; a final message after it stands alone, as one that never had a pending one.
     """
     with_state_store(messages.sparkSession)
     schema = f"client_id {messages.schema['client_id'].dataType.simpleString()}, id long, version long, {ITEM_SCHEMA}"
-    known = messages.where("client_id IS NOT NULL AND id IS NOT NULL").withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", delay)
+    known = messages.where("client_id IS NOT NULL AND id IS NOT NULL").withColumn("event_time", F.timestamp_millis(F.col("at_ms") + _SHIFT)).withWatermark("event_time", delay)
     return known.groupBy("client_id").transformWithState(_Transcript(ttl_ms), StructType.fromDDL(schema), "append", "eventTime")
