@@ -15,29 +15,36 @@ FILLERS = ["ehm", "euh", "uh", "um", "uhm", "hm", "hmm", "mmm", "ja ehm", "nou e
 # Dutch words that announce a continuation.
 CONNECTORS = ["en", "maar", "want", "omdat", "doordat", "terwijl", "dat", "als", "dus", "of", "waarbij", "waardoor", "zodat", "wanneer", "toen", "dan", "ook", "met", "voor", "van", "naar", "in", "op", "bij", "over", "onder", "tussen"]
 # Codes, names and FLORES codes of the supported languages.
-LANGUAGES = """
-nl Dutch nld_Latn
-en English eng_Latn
-de German deu_Latn
-fr French fra_Latn
-es Spanish spa_Latn
-it Italian ita_Latn
-pt Portuguese por_Latn
-pl Polish pol_Latn
-tr Turkish tur_Latn
-ru Russian rus_Cyrl
-uk Ukrainian ukr_Cyrl
-ar Arabic arb_Arab
-hi Hindi hin_Deva
-zh Chinese zho_Hans
-ja Japanese jpn_Jpan
-ko Korean kor_Hang
-sv Swedish swe_Latn
-da Danish dan_Latn
-no Norwegian nob_Latn
-fi Finnish fin_Latn
-"""
+LANGUAGES = [
+    ("nl", "Dutch", "nld_Latn"),
+    ("en", "English", "eng_Latn"),
+    ("de", "German", "deu_Latn"),
+    ("fr", "French", "fra_Latn"),
+    ("es", "Spanish", "spa_Latn"),
+    ("it", "Italian", "ita_Latn"),
+    ("pt", "Portuguese", "por_Latn"),
+    ("pl", "Polish", "pol_Latn"),
+    ("tr", "Turkish", "tur_Latn"),
+    ("ru", "Russian", "rus_Cyrl"),
+    ("uk", "Ukrainian", "ukr_Cyrl"),
+    ("ar", "Arabic", "arb_Arab"),
+    ("hi", "Hindi", "hin_Deva"),
+    ("zh", "Chinese", "zho_Hans"),
+    ("ja", "Japanese", "jpn_Jpan"),
+    ("ko", "Korean", "kor_Hang"),
+    ("sv", "Swedish", "swe_Latn"),
+    ("da", "Danish", "dan_Latn"),
+    ("no", "Norwegian", "nob_Latn"),
+    ("fi", "Finnish", "fin_Latn"),
+]
+# Classes of error messages and their keywords, in the order in which they are tried.
+ERROR_CLASSES = [("model_missing", ["model not found", "no such file"]), ("cuda_unavailable", ["cuda", "cudnn", "cublas"]), ("translation_runtime_error", ["ctranslate2", "translation"]), ("asr_runtime_error", ["whisper", "asr", "transcrib"])]
 TERMINALS = [".", "!", "?", "…"]
+#: For character classes of regular expressions, here and in SQL: white space of all scripts, and the characters of words.
+WHITE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
+#: A word has a letter, digit or underscore; marks at its ends are not part of it.
+MARKS = "'×÷-"
+WORD = rf"[{MARKS}]*[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{MARKS}]*"
 
 
 def normalize(text: Column) -> Column:
@@ -56,13 +63,13 @@ def correct(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
 def sentences(text: Column) -> Column:
     """Pieces that end in a terminal mark with its closing quotes, split at the white space after it."""
-    marked = F.regexp_replace(text, "([.!?…][\"”’)\\]]*)[ \t\n\r]+", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
+    marked = F.regexp_replace(text, f"([.!?…][\"”’)\\]]*)[{WHITE}]+", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: F.rlike(s, F.lit(f"[^{WHITE}]")))
 
 
 def finish(text: Column) -> Column:
@@ -81,8 +88,8 @@ def should_drop(text: Column, least_words: int = 3) -> Column:
 
 def ends_with_connector(text: Column, language: Column | None = None) -> Column:
     """Whether the last word announces a continuation in Dutch; with a language, in Dutch texts only."""
-    last = F.try_element_at(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)), F.lit(-1))
-    waits = F.coalesce(last.isin(CONNECTORS), F.lit(False))
+    last = F.try_element_at(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.lit(-1))
+    waits = F.coalesce(F.regexp_replace(last, f"^[{MARKS}]+|[{MARKS}]+$", "").isin(CONNECTORS), F.lit(False))
     return waits if language is None else waits & F.coalesce(language == "nl", F.lit(False))
 
 
@@ -95,10 +102,11 @@ def overlap(left: Column, right: Column, most: int) -> Column:
 
 def join_overlap(left: Column, right: Column, most: int = 8) -> Column:
     """Fragments joined without the words that both have at the seam."""
-    a, b = F.split(F.trim(left), " +"), F.split(F.trim(right), " +")
+    left, right = collapsed(left), collapsed(right)
+    a, b = F.split(left, " "), F.split(right, " ")
     k = overlap(F.transform(a, F.lower), F.transform(b, F.lower), most)
     rest = F.array_join(F.slice(b, k + 1, F.size(b)), " ")
-    return F.when(F.endswith(F.trim(left), F.trim(right)), F.trim(left)).otherwise(F.trim(F.concat_ws(" ", F.trim(left), rest)))
+    return F.when(F.endswith(left, right), left).otherwise(F.trim(F.concat_ws(" ", left, rest)))
 
 
 def runs(text: Column) -> Column:
@@ -129,8 +137,13 @@ def short_timestamp(ms: Column) -> Column:
     return F.format_string("%02d:%02d.%03d", F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+def collapsed(text: Column) -> Column:
+    """Words of all scripts between single spaces."""
+    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
+
+
 def cache_key(text: Column, source: Column, target: Column, version: str = "v1") -> Column:
-    return F.sha2(F.concat_ws("\u001f", F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")), source, target, F.lit(version)), 256)
+    return F.sha2(F.concat_ws("\u001f", collapsed(text), source, target, F.lit(version)), 256)
 
 
 def cue_body(source: Column, translation: Column) -> Column:
@@ -140,9 +153,8 @@ def cue_body(source: Column, translation: Column) -> Column:
 def error_class(message: Column) -> Column:
     """The first class whose keywords the message has."""
     low = F.lower(message)
-    classes = [("model_missing", ["model not found", "no such file"]), ("cuda_unavailable", ["cuda", "cudnn", "cublas"]), ("translation_runtime_error", ["ctranslate2", "translation"]), ("asr_runtime_error", ["whisper", "asr", "transcrib"])]
     found = F.lit("runtime_error")
-    for name, words in reversed(classes):
+    for name, words in reversed(ERROR_CLASSES):
         hit = F.lit(False)
         for word in words:
             hit = hit | low.contains(word)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from subtide.functions.text import collapsed
+
 
 def recent(sessions: DataFrame, subtitles: DataFrame, limit: int = 50) -> DataFrame:
     """Latest sessions with their number of subtitles, counted before the join; limit within 1 to 200."""
@@ -39,7 +41,7 @@ def translate(requests: DataFrame, cache: DataFrame, scorer: Callable[[Column],
 
     Same-language and blank requests skip the cache; each missing key is scored once and fanned back out.
     """
-    plain = F.trim(F.regexp_replace("text", "[ \t\n\r]+", " "))
+    plain = collapsed(F.col("text"))
     asked = requests.withColumns({"plain": plain, "origin": F.when(plain == "", "blank").when(F.col("source") == F.col("target"), "identity")})
     own = asked.where("origin IS NOT NULL").withColumn("translation", F.when(F.col("origin") == "blank", "").otherwise(F.col("plain")))
     rest = asked.where("origin IS NULL").drop("origin")
@@ -55,6 +57,44 @@ def summary(samples: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return samples.groupBy(*keys).agg(F.count(value).alias("n"), thousandths(p[0]).alias("median"), thousandths(p[1]).alias("p95"), thousandths(F.max(value)).alias("most"))
 
 
+def order_statistics(samples: DataFrame, keys: list[str], value: str = "value", shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """count, the linearly interpolated values at ``shares`` of (n - 1), and the maximum of each series, without holding a series.
+
+    Values are counted in ranges of about a thousandth of their size; the ranges in which a wanted place lies are
+    looked at once more, as counts of their different values. Counts are summed before the shuffle, and what is
+    then sorted is a range's different values, so a series with most of all rows is many tasks. Nulls and NaN are
+    left out; a series without values has nulls and the count 0.
+    """
+    own = samples.select(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("__v")).withColumn("__v", F.when(~F.isnan("__v"), F.col("__v")))
+    ranged = own.withColumn("__r", (F.signum("__v") * F.floor(F.log1p(F.abs("__v")) * 1024)).cast("long"))
+    counts = ranged.groupBy("__k", "__r").agg(F.count("__v").alias("n"), F.max("__v").alias("most"))
+    by = W.partitionBy("__k")
+    sums = counts.select("*", F.sum("n").over(by).alias("total"), F.max("most").over(by).alias("top"), F.sum("n").over(by.orderBy("__r").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    place = [(F.col("total") - 1) * F.lit(p) for p in shares]
+    ranks = F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)])
+    wanted = sums.where("n > 0").select("__k", "__r", (F.col("upto") - F.col("n")).alias("before"), F.explode(F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("rank"))
+    asked = wanted.groupBy("__k", "__r").agg(F.min("before").alias("before"), F.collect_set("rank").alias("ranks"))
+    values = ranged.join(asked.select("__k", "__r"), ["__k", "__r"]).groupBy("__k", "__r", "__v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy("__k", "__r").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    found = values.withColumn("upto", upto).join(asked, ["__k", "__r"]).select("__k", "__v", F.explode(F.filter("ranks", lambda r: (r >= F.col("before") + F.col("upto") - F.col("c")) & (r < F.col("before") + F.col("upto")))).alias("rank"))
+    at = found.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "__v"))).alias("at"))  # two places a share
+    series = sums.groupBy("__k").agg(F.max("total").alias("n"), F.max("top").alias("most"))
+
+    def interpolated(p: float) -> Column:
+        x = (F.col("n") - 1) * F.lit(p)
+        low, high = F.try_element_at("at", F.floor(x).cast("long")), F.try_element_at("at", F.ceil(x).cast("long"))
+        return low + (high - low) * (x - F.floor(x))
+
+    out = series.join(at, "__k", "left")
+    return out.select(*[F.col(f"__k.{k}").alias(k) for k in keys], "n", *[interpolated(p).alias(f"p{round(p * 100)}") for p in shares], "most")
+
+
+def summary_of_any_size(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """``summary`` without holding a series, see ``order_statistics``."""
+    found = order_statistics(samples, keys, value)
+    return found.select(*keys, "n", thousandths(F.col("p50")).alias("median"), thousandths(F.col("p95")).alias("p95"), thousandths(F.col("most")).alias("most"))
+
+
 def thousandths(x: Column) -> Column:
     """Three places; what is left of binary fractions goes first, so that halves are halves."""
     return F.round(F.round(x, 9), 3)

@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
-from subtide.operators import scoring, sessions
-from subtide.plans.registry import _CER, _CHRF, _DISTANCE, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.operators import evaluation, scoring, sessions
+from subtide.plans.registry import _CER, _CHRF, _CODED, _DISTANCE, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -183,12 +183,14 @@ def agg4_snapshot(spark, d):
     return _t(spark, d, "events").groupBy(F.col("user_id").alias("client_id"), F.col("event_type").alias("metric")).agg(F.least(F.count("*"), F.lit(1000)).alias("samples"))
 
 
-@query(f"""WITH {_CHRF}, s AS (SELECT item_id % 3 AS model, count(*) AS n, avg(chrf) AS chrf FROM scored GROUP BY 1)
-SELECT model, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status, round(chrf, 4) AS chrf_mean FROM (VALUES (0), (1), (2), (3)) AS w(model) LEFT JOIN s USING (model)""")
+@query(f"""WITH {_CHRF}, timed AS (SELECT item_id, chrf, {_CER} AS cer, 40 + item_id * 37 % 900 AS latency_ms FROM scored JOIN pairs USING (item_id)),
+s AS (SELECT item_id % 3 AS model, count(*) AS n, avg(chrf) AS chrf, avg(cer) AS cer, avg(latency_ms) AS latency FROM timed GROUP BY 1)
+SELECT model, coalesce(n, 0) AS n, CASE WHEN model = 4 THEN 'failed' WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status, round(chrf, 4) AS chrf_mean, round(cer, 4) AS cer_mean, round(latency, 1) AS latency_ms_mean FROM (VALUES (0), (1), (2), (3), (4)) AS w(model) LEFT JOIN s USING (model)""")
 def agg9_translation_rollup(spark, d):
-    done = chrf_of(spark, d).groupBy((F.col("item_id") % 3).alias("model")).agg(F.count("*").alias("n"), F.avg("chrf").alias("chrf"))
-    wanted = spark.range(4).select(F.col("id").alias("model"))  # the models asked for; the last has no run
-    return wanted.join(done, "model", "left").select(F.col("model").cast("int").alias("model"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "skipped").otherwise("ok").alias("status"), F.round("chrf", 4).alias("chrf_mean"))
+    """Translation per model; of the models asked for, one has no run and one has failed."""
+    runs = pairs_of(spark, d).join(chrf_of(spark, d), "item_id").select((F.col("item_id") % 3).alias("model"), "reference", "hypothesis", "chrf", (40 + F.col("item_id") * 37 % 900).alias("latency_ms"))
+    wanted = spark.range(5).select(F.col("id").cast("int").alias("model"), (F.col("id") == 4).alias("failed"))
+    return evaluation.translation_rollup(wanted, runs.withColumn("model", F.col("model").cast("int")), "model")
 
 
 @query("""WITH b AS (SELECT user_id, date_trunc('hour', ts) AS batch, count(*) AS requests, max(value) AS wait FROM events GROUP BY ALL)
@@ -260,7 +262,7 @@ def mth5_letter_distance(spark, d):
     return pairs_of(spark, d).select("item_id", F.levenshtein("reference", "hypothesis").cast("bigint").alias("letters"))
 
 
-@query()
+@query(f"WITH {_CODED} SELECT item_id, words FROM coded")
 def mth5_word_distance(spark, d):
     return pairs_of(spark, d).select("item_id", arrays.word_distance(arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))).cast("bigint").alias("words"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from subtide.functions import arrays, text
-from subtide.operators import cues, sessions, transcripts
+from subtide.operators import cues, evaluation, sessions, transcripts
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -78,14 +78,14 @@ def requests_of(spark, d) -> DataFrame:
 
 def cache_of(spark, d) -> DataFrame:
     """Translations of the longer documents, from 300 characters on."""
-    plain = F.trim(F.regexp_replace("text", "[ \t\n\r]+", " "))
+    plain = text.collapsed(F.col("text"))
     stored = requests_of(spark, d).where(F.length("text") >= 300)
     return stored.groupBy("cache_key").agg(F.md5(F.concat(F.min(plain), F.lit("#"))).alias("translation"), F.max("request_id").alias("last_access"), F.count("*").alias("hit_count"))
 
 
-_REQUESTS = r"""requests AS (SELECT doc_id AS request_id, text, lang AS source, 'en' AS target, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ') AS plain,
-              sha256(concat_ws(chr(31), trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' '), lang, 'en', 'v1')) AS cache_key FROM documents),
-cache AS (SELECT cache_key, md5(min(plain) || '#') AS translation, max(request_id) AS last_access, count(*) AS hit_count FROM requests WHERE length(text) >= 300 GROUP BY cache_key)"""
+_REQUESTS = r"""requests AS (SELECT doc_id AS request_id, text, lang AS source, 'en' AS target, trim(regexp_replace(text, '[WHITE]+', ' ', 'g'), ' ') AS plain,
+              sha256(concat_ws(chr(31), trim(regexp_replace(text, '[WHITE]+', ' ', 'g'), ' '), lang, 'en', 'v1')) AS cache_key FROM documents),
+cache AS (SELECT cache_key, md5(min(plain) || '#') AS translation, max(request_id) AS last_access, count(*) AS hit_count FROM requests WHERE length(text) >= 300 GROUP BY cache_key)""".replace("WHITE", text.WHITE)
 
 
 def messages_of(spark, d, events: DataFrame | None = None) -> DataFrame:
@@ -228,13 +228,16 @@ def strf2_glossary(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.correct(F.col("text"), [("the", "THE"), ("on(ti|th)", "$1on")]).alias("corrected"))
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_''-]+')) AS BIGINT) AS n FROM documents")
+_WORD_SQL, _MARKS_SQL = text.WORD.replace("'", "''"), text.MARKS.replace("'", "''")
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_WORD_SQL}')) AS BIGINT) AS n FROM documents")
 def strf3_word_count(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n"))
 
 
-_SENTENCES = r"""split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?…]["”’)\]]*)[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
-sentences AS (SELECT doc_id, CAST(i AS BIGINT) AS i, s[i + 1] AS sentence FROM (SELECT doc_id, list_filter(s, lambda x: trim(x, ' ') <> '') AS s, unnest(range(len(list_filter(s, lambda x: trim(x, ' ') <> '')))) AS i FROM split))"""
+_SENTENCES = r"""split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?…]["”’)\]]*)[WHITE]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+sentences AS (SELECT doc_id, CAST(i AS BIGINT) AS i, s[i + 1] AS sentence FROM (SELECT doc_id, list_filter(s, lambda x: regexp_matches(x, '[^WHITE]')) AS s, unnest(range(len(list_filter(s, lambda x: regexp_matches(x, '[^WHITE]'))))) AS i FROM split))""".replace("WHITE", text.WHITE)
 
 
 def sentences_of(spark, d) -> DataFrame:
@@ -263,12 +266,12 @@ def flt6_filler_only(spark, d):
 
 
 @query(rf"""WITH {_SENTENCES} SELECT doc_id, i, sentence FROM sentences WHERE NOT (trim(sentence, ' ') = '' OR {_IS_FILLER}
-OR (len(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_''-]+')) < 3 AND right(trim(sentence, ' '), 1) NOT IN ('?', '!')))""")
+OR (len(regexp_extract_all(sentence, '{_WORD_SQL}')) < 3 AND right(trim(sentence, ' '), 1) NOT IN ('?', '!')))""")
 def flt7_should_drop(spark, d):
     return sentences_of(spark, d).where(~text.should_drop(F.col("sentence")))
 
 
-@query(rf"WITH {_SENTENCES} SELECT doc_id, i, coalesce(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_''-]+')[-1] IN {_CONN}, false) AS waits FROM sentences")
+@query(rf"WITH {_SENTENCES} SELECT doc_id, i, coalesce(regexp_replace(regexp_extract_all(lower(sentence), '{_WORD_SQL}')[-1], '^[{_MARKS_SQL}]+|[{_MARKS_SQL}]+$', '', 'g') IN {_CONN}, false) AS waits FROM sentences")
 def flt8_connector(spark, d):
     return sentences_of(spark, d).select("doc_id", "i", text.ends_with_connector(F.col("sentence")).alias("waits"))
 
@@ -301,7 +304,7 @@ def strf11_timestamp(spark, d):
     return cues_of(spark, d).select("id", text.timestamp(F.col("start_ms")).alias("srt"), text.timestamp(F.col("start_ms"), ".").alias("vtt"))
 
 
-_LANG_ROWS = [line.split() for line in text.LANGUAGES.strip().splitlines()]
+_LANG_ROWS = text.LANGUAGES
 _LANG_VALUES = ", ".join(f"('{c}', '{n}', '{f}')" for c, n, f in _LANG_ROWS)
 _LANGS = f"languages(code, name, flores) AS (VALUES {_LANG_VALUES})"
 
@@ -599,7 +602,13 @@ def jn11_access_stats(spark, d):
 
 @query("SELECT user_id, event_type, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM events GROUP BY ALL")
 def agg1_summary(spark, d):
-    return sessions.summary(_t(spark, d, "events"), ["user_id", "event_type"])
+    return sessions.summary_of_any_size(_t(spark, d, "events"), ["user_id", "event_type"])
+
+
+@query("SELECT 'all' AS series, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM events")
+def agg1_hot_series(spark, d):
+    """One series with all rows."""
+    return sessions.summary_of_any_size(_t(spark, d, "events").withColumn("series", F.lit("all")), ["series"])
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
@@ -654,7 +663,14 @@ def mth7_cer(spark, d):
     return p.select("item_id", "distance", F.round(arrays.error_rate(F.col("distance"), F.length(a), F.length(b)), 6).alias("cer"))
 
 
-@query()
+# Words as single bytes: for pairs of up to 127 distinct words, which all pairs of the tables are.
+_CODED = f"""{_PAIRS}, named AS (SELECT *, list_filter(string_split(reference, ' '), lambda t: t <> '') AS a, list_filter(string_split(hypothesis, ' '), lambda t: t <> '') AS b FROM pairs),
+distinct_names AS (SELECT *, list_distinct(list_concat(a, b)) AS names FROM named),
+coded AS (SELECT *, levenshtein(array_to_string(list_transform(a, lambda t: chr(CAST(list_position(names, t) AS INTEGER))), ''), array_to_string(list_transform(b, lambda t: chr(CAST(list_position(names, t) AS INTEGER))), '')) AS words FROM distinct_names)"""
+_WER = "CASE WHEN len(a) > 0 THEN words / len(a) WHEN len(b) > 0 THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {_CODED} SELECT item_id, round({_WER}, 6) AS wer FROM coded")
 def mth6_wer(spark, d):
     a, b = arrays.tokens(F.col("reference")), arrays.tokens(F.col("hypothesis"))
     return pairs_of(spark, d).select("item_id", F.round(arrays.error_rate(arrays.word_distance(a, b), F.size(a), F.size(b)), 6).alias("wer"))
@@ -695,11 +711,13 @@ def mth8_chrf(spark, d):
     return chrf_of(spark, d).select("item_id", F.round("chrf", 6).alias("chrf"))
 
 
-@query(f"WITH {_PAIRS} SELECT item_id % 3 AS model, count(*) AS n, round(avg({_CER}), 6) AS cer FROM pairs GROUP BY 1")
+@query(f"""WITH {_CODED}, timed AS (SELECT *, 40 + item_id * 37 % 900 AS latency_ms, length(reference) / 15.0::DOUBLE AS seconds FROM coded)
+SELECT item_id % 3 AS model, count(*) AS n, round(avg({_WER}), 4) AS wer_mean, round(avg({_CER}), 4) AS cer_mean, round(avg(CASE WHEN seconds > 0 THEN latency_ms / 1000.0::DOUBLE / seconds ELSE 0 END), 3) AS rtf_mean, round(avg(latency_ms), 1) AS latency_ms_mean FROM timed GROUP BY 1""")
 def agg8_evaluation(spark, d):
-    a, b = F.replace("reference", F.lit(" "), F.lit("")), F.replace("hypothesis", F.lit(" "), F.lit(""))
-    cer = arrays.error_rate(F.levenshtein(a, b), F.length(a), F.length(b))
-    return pairs_of(spark, d).groupBy((F.col("item_id") % 3).alias("model")).agg(F.count("*").alias("n"), F.round(F.avg(cer), 6).alias("cer"))
+    """Recognition per model: macro means of word and letter error rates, realtime factor and latency."""
+    latency = (40 + F.col("item_id") * 37 % 900).alias("latency_ms")
+    runs = pairs_of(spark, d).select((F.col("item_id") % 3).alias("model"), "reference", "hypothesis", latency, (F.length("reference") / F.lit(15.0)).alias("seconds"))
+    return evaluation.asr_rollup(runs, ["model"])
 
 
 # Samples and numbers

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subtide.functions import text
-from subtide.operators import transcripts
+from subtide.operators import islands, transcripts
 from subtide.plans.registry import _MERGED, _MESSAGES, _t, messages_of, query, transcript_of
 from subtide.sources.history import History
 from subtide.sources.reports import working_folder
@@ -42,9 +42,15 @@ def _stream(spark, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(_t(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id AS client_id, event_id AS seq, value / 1000 >= 0.010::DOUBLE AS loud, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS first_seq, CAST(0 AS BIGINT) AS speech, CAST(0 AS BIGINT) AS silence, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS began, CAST(0 AS BIGINT) AS total, n FROM r
+UNION ALL SELECT client_id, i, seq, CASE WHEN reason IS NULL AND open THEN first_seq END, CASE WHEN reason IS NULL AND open THEN speech ELSE 0 END, CASE WHEN reason IS NULL AND open THEN silence ELSE 0 END, CASE WHEN reason IS NULL AND open AND i = n THEN 'flush' ELSE reason END, first_seq, speech, n
+ FROM (SELECT *, CASE WHEN NOT going THEN NULL WHEN speech >= 72000 THEN 'max' WHEN speech >= 4000 AND silence >= 8000 THEN 'silence' END AS reason
+  FROM (SELECT r.client_id, r.i, r.seq, r.n, f.first_seq IS NOT NULL AS going, f.first_seq IS NOT NULL OR r.loud AS open, coalesce(f.first_seq, r.seq) AS first_seq, f.speech + 3200 AS speech, CASE WHEN r.loud OR f.first_seq IS NULL THEN 0 ELSE f.silence + 3200 END AS silence
+   FROM f JOIN r ON r.client_id = f.client_id AND r.i = f.i + 1)))
+SELECT client_id, began AS first_seq, seq AS last_seq, total AS n_samples, reason FROM f WHERE reason IS NOT NULL""")
 def str1_segments(spark, d):
-    return fold(chunks_of(_t(spark, d, "events")), "client_id", ["at_ms", "seq"], machines.Segmenter())
+    return islands.segments(chunks_of(_t(spark, d, "events")), "client_id", ["at_ms", "seq"], machines.Segmenter())
 
 
 @query()
@@ -76,25 +82,43 @@ def str6_pending_final(spark, d):
     return rows.groupBy("client_id", F.col("k").alias("id")).agg(F.min("seq").alias("first_seq"), (F.count_if(final) == 0).alias("pending"), F.max_by("value", F.struct(final, "seq")).alias("value"))
 
 
-@query()
+_BACKLOG = """WITH RECURSIVE r AS (SELECT user_id AS client_id, event_id AS seq, (epoch_us(ts) // 1000) AS tm, floor(value * 1000) / 32 AS level, event_type = 'error' AS gap, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
+f AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, 'normal' AS state, CAST(NULL AS BIGINT) AS since, CAST(0 AS BIGINT) AS episodes, CAST(0 AS BIGINT) AS longest_ms, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS gaps FROM r
+UNION ALL SELECT client_id, i, seq, new, CASE WHEN new = 'normal' THEN NULL WHEN new IN ('congested', 'dropping') THEN coalesce(kept, tm) ELSE kept END, episodes + CASE WHEN new IN ('congested', 'dropping') AND kept IS NULL THEN 1 ELSE 0 END,
+ greatest(longest_ms, CASE WHEN before <> 'normal' AND new = 'normal' AND since IS NOT NULL OR ended THEN tm - since ELSE 0 END), dropped + CASE WHEN new = 'dropping' THEN 1 ELSE 0 END, gaps + CASE WHEN ended THEN 1 ELSE 0 END
+ FROM (SELECT *, CASE WHEN ended THEN NULL ELSE since END AS kept, CASE state WHEN 'normal' THEN CASE WHEN level >= 1200 THEN 'dropping' WHEN level >= 600 THEN 'congested' ELSE 'normal' END WHEN 'congested' THEN CASE WHEN level >= 1200 THEN 'dropping' WHEN level <= 350 THEN 'normal' ELSE state END
+   WHEN 'dropping' THEN CASE WHEN level <= 400 THEN 'recovery' ELSE state END ELSE CASE WHEN level >= 1200 THEN 'dropping' ELSE state END END AS new
+  FROM (SELECT r.client_id, r.i, r.seq, r.tm, r.level, f.state AS before, r.gap AND f.state = 'recovery' AS ended, CASE WHEN r.gap AND f.state = 'recovery' THEN 'normal' ELSE f.state END AS state, f.since, f.episodes, f.longest_ms, f.dropped, f.gaps
+   FROM f JOIN r ON r.client_id = f.client_id AND r.i = f.i + 1)))
+SELECT client_id, seq, state, CASE state WHEN 'normal' THEN 'sent' WHEN 'dropping' THEN 'drop' ELSE 'warn' END AS action, episodes, longest_ms, dropped, gaps FROM f WHERE i > 0"""
+
+
+@query(_BACKLOG)
 def str8_backlog(spark, d):
     return fold(backlog_of(_t(spark, d, "events")), "client_id", ["at_ms", "seq"], machines.Backlog())
 
 
-@query()
+@query(_BACKLOG)
 def str8_backlog_stream(spark, d):
     return streamed(stream_fold(backlog_of(_stream(spark, d, "events")), "client_id", ["at_ms", "seq"], machines.Backlog()), spark)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT lang AS pair, doc_id AS seq, coalesce(length(text), 0) AS n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT DISTINCT pair, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS requests, CAST(0 AS BIGINT) AS chars FROM r
+UNION ALL SELECT pair, i, seq, batch + CASE WHEN is_full THEN 1 ELSE 0 END, n, CASE WHEN is_full THEN 1 ELSE requests + 1 END, CASE WHEN is_full THEN n ELSE chars + n END
+ FROM (SELECT r.pair, r.i, r.seq, r.n_chars AS n, f.batch, f.requests, f.chars, f.requests > 0 AND (f.requests >= 8 OR f.chars + r.n_chars > 2400) AS is_full FROM f JOIN r ON r.pair = f.pair AND r.i = f.i + 1))
+SELECT pair, seq, batch, n_chars FROM f WHERE i > 0""")
 def str11_request_batches(spark, d):
-    """Batches within blocks of 1,000 requests of a language, so that no language gathers in one task."""
-    block = F.concat_ws("#", "lang", F.floor(F.col("doc_id") / 1000).cast("string"))
-    rows = _t(spark, d, "documents").select(block.alias("pair"), F.col("doc_id").alias("seq"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
-    return fold(rows, "pair", ["seq"], machines.RequestBatches())
+    """Batches of all requests of a language, in the order of their ids."""
+    rows = _t(spark, d, "documents").select(F.col("lang").alias("pair"), F.col("doc_id").alias("seq"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return islands.request_batches(rows, "pair", "seq", "n_chars")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MESSAGES}, r AS (SELECT client_id, seq, type AS kind, seq // 2000 AS epoch, CAST(floor(value * 1000) AS BIGINT) AS n, row_number() OVER (PARTITION BY client_id ORDER BY seq) AS i FROM messages WHERE type IN ('partial', 'final')),
+f AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS number, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS epoch, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS n FROM r
+UNION ALL SELECT client_id, i, number + CASE WHEN joins THEN 0 ELSE 1 END, seq, kind, epoch, CASE WHEN joins THEN total + n ELSE n END, n
+ FROM (SELECT r.client_id, r.i, f.number, r.seq, r.kind, r.epoch, f.total, r.n, coalesce(r.kind = 'final' AND f.kind = 'final' AND f.epoch = r.epoch AND f.total + r.n <= 192000, false) AS joins FROM f JOIN r ON r.client_id = f.client_id AND r.i = f.i + 1))
+SELECT client_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_samples, min(seq) * 100 AS created_ms FROM f WHERE i > 0 GROUP BY client_id, number""")
 def str12_merged_segments(spark, d):
     rows = messages_of(spark, d).where(F.col("type").isin("partial", "final")).select("client_id", "seq", F.col("type").alias("kind"), F.lit("c").alias("config"), (F.floor(F.col("seq") / 2000)).alias("epoch"), F.floor(F.col("value") * 1000).alias("n_samples"), (F.col("seq") * 100).alias("created_ms"))
     return fold(rows, "client_id", ["seq"], machines.MergedSegments())
@@ -111,7 +135,7 @@ def str13_metrics_stream(spark, d):
 
 # Whole sessions. On their clock an hour of the events is a second.
 
-_CLOCK = "epoch_ms(ts) // 3600"
+_CLOCK = "(epoch_us(ts) // 1000) // 3600"
 
 
 def watched_of(events: DataFrame) -> DataFrame:

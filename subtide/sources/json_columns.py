@@ -27,3 +27,10 @@ def evaluation_items(rows: DataFrame, raw: str, item: str) -> DataFrame:
     """The items of evaluation corpora held as JSON objects with an ``items`` array."""
     others = [c for c in rows.columns if c != raw]
     return rows.select(*others, F.explode(parsed(F.col(raw), f"items array<{item}>")["items"]).alias("item")).select(*others, "item.*")
+
+
+def messages(rows: DataFrame, raw: str, fields: str) -> DataFrame:
+    """Rows whose ``raw`` text is a JSON object, as ``message`` with these fields; arrays, single values and broken or null texts are left out."""
+    value = F.try_parse_json(raw)
+    kept = rows.where(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")))
+    return kept.withColumn("message", F.from_json(raw, fields)).drop(raw)

@@ -104,7 +104,7 @@ class Snapshots:
         return []
 
 
-_WORD = re.compile(r"[\w'-]+")
+_WORD = re.compile(r"\b[\wÀ-ÿ'-]+\b")
 _END = re.compile(r"[.!?…][\"”’)\]]*(?=\s|$)")
 
 

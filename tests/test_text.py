@@ -106,7 +106,7 @@ def test_chrf_and_error_rates_on_empty_and_short_sides(spark, tmp_path):
     assert {r.item_id: r.chrf for r in registry.mth8_chrf(spark, str(tmp_path)).collect()} == want
     assert {r.item_id: r.cer for r in registry.mth7_cer(spark, str(tmp_path)).collect()} == {0: 0.0, 1: 1.0, 2: 3.0, 3: 0.125, 4: 1.0, 5: 1.0, 6: round(1 / 7, 6)}
     assert {r.model: r.n for r in registry.agg8_evaluation(spark, str(tmp_path)).collect()} == {0: 3, 1: 2, 2: 2}
-    assert {r.model: (r.n, r.status) for r in records.agg9_translation_rollup(spark, str(tmp_path)).collect()} == {0: (3, "ok"), 1: (2, "ok"), 2: (2, "ok"), 3: (0, "skipped")}
+    assert {r.model: (r.n, r.status) for r in records.agg9_translation_rollup(spark, str(tmp_path)).collect()} == {0: (3, "ok"), 1: (2, "ok"), 2: (2, "ok"), 3: (0, "skipped"), 4: (0, "failed")}
 
 
 def test_connectors_by_language(spark):
