@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from subtide.functions.text import timestamp
+from subtide.streaming.fold import fold
 
 MAX_CHARS, MAX_MS, GAP_MS, LEAST_MS, WEAK_CHARS = 84, 6000, 500, 800, 42
 
@@ -20,24 +23,37 @@ def islands(words: DataFrame) -> DataFrame:
     return words.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("island", F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("cut")
 
 
+@dataclass
+class CueBuilder:
+    """Words (pos, word, start_ms, end_ms) of an island to cues: broken at 84 characters, 6 s, or weak punctuation after 42 characters."""
+
+    schema: str = "cue int, start_ms long, end_ms long, text string"
+
+    def start(self) -> dict:
+        return {"cue": 0, "words": [], "chars": 0, "since": 0, "until": 0}
+
+    def step(self, state: dict, row: dict) -> list[tuple]:
+        size, out = len(row["word"]), []
+        weak = state["chars"] >= WEAK_CHARS and state["words"][-1].endswith((",", ";", ":"))
+        if state["words"] and (state["chars"] + 1 + size > MAX_CHARS or row["end_ms"] - state["since"] > MAX_MS or weak):
+            out = self.close(state)
+        if state["words"]:
+            state["words"].append(row["word"])
+            state.update(chars=state["chars"] + 1 + size, until=max(state["until"], row["end_ms"]))
+        else:
+            state.update(words=[row["word"]], chars=size, since=row["start_ms"], until=row["end_ms"])
+        return out
+
+    def close(self, state: dict) -> list[tuple]:
+        done = [(state["cue"], state["since"], state["until"], " ".join(state["words"]))] if state["words"] else []
+        state.update(words=[], cue=state["cue"] + 1)
+        return done
+
+
 def build(words: DataFrame) -> DataFrame:
-    """Greedy cues(client_id, start_ms, end_ms, text): an island is broken at 84 characters, 6 s, or weak punctuation after 42 characters."""
-    packed = islands(words).groupBy("client_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "word"))).alias("words"))
-    start = F.struct(F.lit(0).alias("cue"), F.lit(0).alias("chars"), F.lit(0).cast("bigint").alias("since"), F.lit("").alias("last"), F.array().cast("array<int>").alias("ids"))
-
-    def step(s: Column, w: Column) -> Column:
-        size = F.length(w["word"])
-        weak = F.right(s["last"], F.lit(1)).isin(",", ";", ":") & (s["chars"] >= WEAK_CHARS)
-        new = (s["chars"] > 0) & ((s["chars"] + 1 + size > MAX_CHARS) | (w["end_ms"] - s["since"] > MAX_MS) | weak)
-        cue = F.when(new, s["cue"] + 1).otherwise(s["cue"])
-        fresh = new | (s["chars"] == 0)
-        return F.struct(cue.alias("cue"), F.when(fresh, size).otherwise(s["chars"] + 1 + size).alias("chars"), F.when(fresh, w["start_ms"]).otherwise(s["since"]).alias("since"), w["word"].alias("last"), F.concat(s["ids"], F.array(cue)).alias("ids"))
-
-    folded = packed.withColumn("ids", F.aggregate("words", start, step, lambda s: s["ids"]))
-    rows = folded.select("client_id", "island", F.explode(F.arrays_zip("words", "ids")).alias("x"))
-    return rows.groupBy("client_id", "island", F.col("x.ids").alias("cue")).agg(
-        F.min("x.words.start_ms").alias("start_ms"), F.max("x.words.end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.words.pos", "x.words.word"))), lambda w: w["word"]), " ").alias("text")
-    )
+    """Greedy cues(client_id, start_ms, end_ms, text). Islands are folded side by side, word by word: a task holds one cue."""
+    own = islands(words).select(F.struct("client_id", "island").alias("piece"), "pos", "word", "start_ms", "end_ms")
+    return fold(own, "piece", ["pos"], CueBuilder()).select("piece.client_id", "piece.island", "cue", "start_ms", "end_ms", "text")
 
 
 def normalized(cues: DataFrame, key: str = "client_id", order: tuple[str, ...] = ("start_ms",)) -> DataFrame:
