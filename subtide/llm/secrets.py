@@ -32,8 +32,8 @@ from subtide.llm.common import checkpointed
 FIT_ROWS, FIT_DOCUMENTS, TREES, DEPTH = 4000, 400, 20, 8
 CANDIDATE = "[A-Za-z0-9_+/-]{16,}={0,2}"
 _SPACE = "\\s=:\"'`"
-#: The last word (1) of what precedes a candidate and what stands between (2). Tried at a word's first character only.
-_BEFORE = f"(?<![^{_SPACE}])([^{_SPACE}]++)([{_SPACE}]++)$"
+#: The last word of what precedes a candidate, with what stands between. Looked for from the end: the first part takes all and gives back.
+_BEFORE = f"^(?s:.*)(?<![^{_SPACE}])([^{_SPACE}]++[{_SPACE}]++)$"
 KEYWORD = "(?i)(pass(word|wd)?|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer)"
 DIGEST = "(?i)(sha|md5|commit|checksum|digest|hash|etag|uuid|revision|integrity)"
 REDACTED = "[SECRET]"
@@ -78,11 +78,12 @@ def candidates(docs: DataFrame, tables: tuple[Column, Column]) -> DataFrame:
     split = F.struct(F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"))
 
     def part(around: Column, value: Column, i: Column) -> Column:
-        return F.struct(*[F.regexp_extract(around[i], _BEFORE, k).alias(c) for k, c in ((1, "before"), (2, "between"))], value.alias("value"), F.regexp_extract(around[i + 1], "^\\W*(\\w*)", 1).alias("after"))
+        return F.struct(F.regexp_extract(around[i], _BEFORE, 1).alias("tail"), value.alias("value"), F.regexp_extract(around[i + 1], "^\\W*(\\w*)", 1).alias("after"))
 
     parts = F.transform(F.array(split), lambda s: F.transform(s["values"], lambda v, i: part(s["around"], v, i)))[0]
     cut = cut.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), parts.alias("parts"))  # the text ends here
     cut = cut.select("doc_id", "source", "text_hash", F.posexplode("parts").alias("number", "part")).select("doc_id", "source", "text_hash", "number", "part.*")
+    cut = cut.withColumns({"before": F.regexp_extract("tail", f"^([^{_SPACE}]*+)", 1), "between": F.regexp_extract("tail", f"(?s)^[^{_SPACE}]*+(.*)$", 1)})
     size = F.length("value")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     two, three = (_pieces(F.lower("value"), width) for width in (2, 3))
