@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
 from subtide.operators import evaluation, scoring, sessions
-from subtide.plans.registry import _CER, _CHRF, _CODED, _DISTANCE, _LANG_ROWS, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.plans.registry import _CER, _CHRF, _CODED, _DISTANCE, _LANG_ROWS, _MERGED_SQL, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _overlap_sql, _words_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -245,7 +245,8 @@ def set4_delete_entries(spark, d):
 # Functions
 
 
-@query()
+@query(f"""WITH {_SENTENCES}, q AS (SELECT doc_id, i, sentence AS p, lead(sentence) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM sentences), w AS (SELECT *, {_words_sql('p')} AS a, {_words_sql('n')} AS b FROM q WHERE n IS NOT NULL),
+k AS (SELECT *, {_overlap_sql(10)} FROM w), m AS (SELECT *, {_MERGED_SQL} FROM k) SELECT doc_id, i, merged FROM m""")
 def strf7_merge_overlap(spark, d):
     own = sentences_of(spark, d)
     following = F.lead("sentence").over(W.partitionBy("doc_id").orderBy("i"))

@@ -276,14 +276,36 @@ def flt8_connector(spark, d):
     return sentences_of(spark, d).select("doc_id", "i", text.ends_with_connector(F.col("sentence")).alias("waits"))
 
 
-@query()
+def _overlap_sql(most: int) -> str:
+    """k: the longest end of list a that list b begins with, in lower case."""
+    low = {x: f"list_transform({x}, lambda w: lower(w))" for x in "ab"}
+    return f"list_max(list_filter(range(0, least(len(a), len(b), {most}) + 1), lambda k: k = 0 OR ({low['a']})[len(a) - k + 1:] = ({low['b']})[:k])) AS k"
+
+
+def _plain_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{text.WHITE}]+', ' ', 'g'), ' ')"
+
+
+_MERGED_SQL = "CASE WHEN k > 0 THEN array_to_string(list_concat(a, b[k + 1:]), ' ') WHEN length(n) > length(p) THEN n ELSE p END AS merged"
+
+
+def _words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH {_SENTENCES}, n AS (SELECT a.doc_id, a.i, {_plain_sql('a.sentence')} AS l, {_plain_sql('b.sentence')} AS r FROM sentences a JOIN sentences b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+w AS (SELECT *, string_split(l, ' ') AS a, string_split(r, ' ') AS b FROM n), k AS (SELECT *, {_overlap_sql(8)} FROM w)
+SELECT doc_id, i, CASE WHEN ends_with(l, r) THEN l ELSE trim(concat_ws(' ', l, array_to_string(b[k + 1:], ' ')), ' ') END AS joined FROM k""")
 def strf6_join_overlap(spark, d):
     own = sentences_of(spark, d)
     nxt = own.select("doc_id", (F.col("i") - 1).alias("i"), F.col("sentence").alias("following"))
     return own.join(nxt, ["doc_id", "i"]).select("doc_id", "i", text.join_overlap(F.col("sentence"), F.col("following")).alias("joined"))
 
 
-@query()
+@query(f"""WITH {_SENTENCES}, q AS (SELECT doc_id, i, trim(regexp_replace(coalesce(lag(sentence) OVER (PARTITION BY doc_id ORDER BY i), ''), '\\s+', ' ', 'g'), ' ') AS p, trim(regexp_replace(sentence, '\\s+', ' ', 'g'), ' ') AS n FROM sentences),
+w AS (SELECT *, {_words_sql('p')} AS a, {_words_sql('n')} AS b FROM q), k AS (SELECT *, {_overlap_sql(10)} FROM w), m AS (SELECT *, {_MERGED_SQL} FROM k)
+SELECT doc_id, i, CASE WHEN n = '' THEN p WHEN p = '' THEN n WHEN lower(n) = lower(p) THEN p WHEN starts_with(lower(n), lower(p)) THEN n WHEN contains(lower(p), lower(n)) AND length(n) + 10 < length(p) THEN p
+WHEN length(n) < length(p) * 0.72::DOUBLE AND right(p, 1) NOT IN ('.', '?', '!') THEN p WHEN length(merged) >= greatest(length(p), length(n)) - 4 THEN merged ELSE n END AS shown FROM m""")
 def strf8_stabilize(spark, d):
     before = F.lag("sentence").over(W.partitionBy("doc_id").orderBy("i"))
     return sentences_of(spark, d).select("doc_id", "i", text.stabilize(before, F.col("sentence")).alias("shown"))
