@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import arrays, text
 from subtide.operators import evaluation, scoring, sessions
-from subtide.plans.registry import _CER, _CHRF, _CODED, _DISTANCE, _LANG_ROWS, _MERGED_SQL, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SUBTITLES, _normal_sql, _overlap_sql, _words_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
+from subtide.plans.registry import _CER, _CHRF, _CODED, _DISTANCE, _LANG_ROWS, _MERGED_SQL, _PAIRS, _REQUESTS, _SENTENCES, _SESSIONS, _SQL, _SUBTITLES, _normal_sql, _overlap_sql, _words_sql, _t, cache_of, chrf_of, cues_of, pairs_of, query, requests_of, sentences_of, sessions_of, subtitles_of
 from subtide.sources import glossary, json_columns, recordings, reports
 
 # Scans
@@ -308,7 +308,7 @@ def aud3_resample(spark, d):
 # Sinks
 
 
-@query(f"WITH {_PAIRS} SELECT item_id % 3 AS model, count(*) AS n, round(avg({_CER}), 6) AS cer FROM pairs GROUP BY 1")
+@query(_SQL["agg8_evaluation"])
 def snk5_report(spark, d):
     from subtide.plans.registry import agg8_evaluation
 

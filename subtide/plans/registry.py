@@ -622,19 +622,19 @@ def jn11_access_stats(spark, d):
 # Metrics
 
 
-@query("SELECT user_id, event_type, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, count(value) AS n, CAST(round(CAST(quantile_cont(value, 0.5) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS median, CAST(round(CAST(quantile_cont(value, 0.95) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS p95, CAST(round(CAST(max(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS most FROM events GROUP BY ALL")
 def agg1_summary(spark, d):
     return sessions.summary_of_any_size(_t(spark, d, "events"), ["user_id", "event_type"])
 
 
-@query("SELECT 'all' AS series, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM events")
+@query("SELECT 'all' AS series, count(value) AS n, CAST(round(CAST(quantile_cont(value, 0.5) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS median, CAST(round(CAST(quantile_cont(value, 0.95) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS p95, CAST(round(CAST(max(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS most FROM events")
 def agg1_hot_series(spark, d):
     """One series with all rows."""
     return sessions.summary_of_any_size(_t(spark, d, "events").withColumn("series", F.lit("all")), ["series"])
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
-SELECT user_id, count(value) AS n, round(round(quantile_cont(value, 0.5), 9), 3) AS median, round(round(quantile_cont(value, 0.95), 9), 3) AS p95, round(round(max(value), 9), 3) AS most FROM r WHERE i <= 20 GROUP BY ALL""")
+SELECT user_id, count(value) AS n, CAST(round(CAST(quantile_cont(value, 0.5) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS median, CAST(round(CAST(quantile_cont(value, 0.95) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS p95, CAST(round(CAST(max(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS most FROM r WHERE i <= 20 GROUP BY ALL""")
 def win1_recent_samples(spark, d):
     return sessions.summary(sessions.recent_samples(_t(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20), ["user_id"])
 
