@@ -122,3 +122,29 @@ def test_rollups(spark):
     wanted = spark.createDataFrame([(0, False), (2, False), (3, True)], "model int, failed boolean")
     rolled = evaluation.translation_rollup(wanted, runs.withColumn("chrf", F.lit(0.5)), "model").collect()
     assert {r.model: (r.n, r.status, r.chrf_mean) for r in rolled} == {0: (2, "ok", 0.5), 2: (0, "skipped", None), 3: (0, "failed", None)}
+
+
+def test_cues_equal_a_greedy_loop(spark):
+    from subtide.operators import cues
+
+    rng, rows, want = random.Random(4), [], []
+    for client in range(3):
+        at, own = 0, []
+        for pos in range(400):
+            word = "".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 7, 12, 90]))) + rng.choice(["", "", "", ",", ";", ".", "?"])
+            end = at + rng.choice([100, 300, 2500])
+            own.append((client, pos, word, at, end))
+            at = end + rng.choice([0, 50, 499, 500])
+        rows += own
+        line: list = []
+        for row in own:
+            text_ = " ".join(r[2] for r in line)
+            island = line and (row[3] - line[-1][4] >= 500 or line[-1][2][-1] in ".!?…")
+            full = line and (len(text_) + 1 + len(row[2]) > 84 or row[4] - line[0][3] > 6000 or (text_[-1] in ",;:" and len(text_) >= 42))
+            if island or full:
+                want.append((client, line[0][3], max(r[4] for r in line), text_))
+                line = []
+            line.append(row)
+        want.append((client, line[0][3], max(r[4] for r in line), " ".join(r[2] for r in line)))
+    got = cues.build(spark.createDataFrame(rows, "client_id long, pos long, word string, start_ms long, end_ms long")).select("client_id", "start_ms", "end_ms", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
