@@ -162,6 +162,16 @@ def error_class(message: Column) -> Column:
     return found
 
 
+def without_paths(message: Column) -> Column:
+    """The message with single spaces and every path reduced to its last name, ``<path>`` where it has none."""
+
+    def name(token: Column) -> Column:
+        parts = F.filter(F.split(token, "/"), lambda c: (c != "") & (c != "."))
+        return F.when(F.contains(token, F.lit("/")), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("<path>"))).otherwise(token)
+
+    return F.array_join(F.transform(F.split(collapsed(message), " "), name), " ")
+
+
 def merge_overlap(left: Column, right: Column, most: int = 10) -> Column:
     """Partials joined at a common seam of words, else the longer one."""
     a, b = (F.filter(F.split(x, r"\s+"), lambda w: w != "") for x in (left, right))

@@ -16,7 +16,7 @@ Recogniser = Callable[[list[float]], dict]
 def translate_many(requests: DataFrame, factory: Callable[[], Translator], max_requests: int = 8, max_chars: int = 2400) -> DataFrame:
     """requests(request_id, text, source, target) with translation; each call gets texts of one language pair within both bounds.
 
-    One text longer than ``max_chars`` goes alone; null texts count as empty.
+    One text longer than ``max_chars`` goes alone; null texts count as empty. A call also ends where an Arrow batch does.
     """
     kind = requests.schema["request_id"].dataType.simpleString()
 

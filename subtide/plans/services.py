@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from subtide.functions import text
 from subtide.operators import languages, logs
-from subtide.plans.registry import _LANG_ROWS, _REQUESTS, _t, cache_of, query, requests_of
+from subtide.plans.registry import _LANG_ROWS, _REQUESTS, _plain_sql, _t, cache_of, query, requests_of
 from subtide.sources import json_columns
 
 _KNOWN = [code for code, _, _ in _LANG_ROWS]
@@ -48,7 +49,7 @@ def snk6_nested_line(spark, d):
 
 @query(f"""SELECT conv_id, turn, 'role,turn,TOKEN' AS fields, CASE WHEN role = 'user' THEN '{logs.REDACTED}' ELSE '' END AS token,
 CASE WHEN turn % 2 = 0 THEN '{logs.HIDDEN}' WHEN length(p) > 180 THEN left(p, 180) || '…' ELSE p END AS preview
-FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[WHITE]+', ' ', 'g'), ' ') AS p FROM conversations)""".replace("WHITE", r"\t-\r\x1C-\x20\x{85}\p{Z}"))
+FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[WHITE]+', ' ', 'g'), ' ') AS p FROM conversations)""".replace("WHITE", text.WHITE))
 def prj4_log_context(spark, d):
     """What of a turn may be logged: no transcript, no secret, a preview where texts may be shown."""
     rows = _t(spark, d, "conversations")
@@ -116,3 +117,11 @@ def agg11_stage_totals(spark, d):
         F.min(F.when(kind("view"), F.col("ts"))).alias("first_partial_at"), F.min(F.when(kind("click"), F.col("ts"))).alias("first_final_at"),
         F.round(F.count_if(kind("click")) / span * 1000000 * 3600, 6).alias("finals_per_hour"), F.round(F.count_if(kind("view")) / span * 1000000 * 60, 6).alias("partials_per_minute"),
     )
+
+
+@query(f"""WITH m AS (SELECT page_id, {_plain_sql("'failed at  ' || coalesce(url, '') || ' in /opt/models/ and /'")} AS plain FROM pages)
+SELECT page_id, array_to_string(list_transform(string_split(plain, ' '), lambda t: CASE WHEN contains(t, '/') THEN coalesce(list_filter(string_split(t, '/'), lambda c: c <> '' AND c <> '.')[-1], '<path>') ELSE t END), ' ') AS debug FROM m""")
+def strf14_debug_text(spark, d):
+    """Messages with addresses and folders, as they may be shown."""
+    message = F.concat(F.lit("failed at  "), F.coalesce("url", F.lit("")), F.lit(" in /opt/models/ and /"))
+    return _t(spark, d, "pages").select("page_id", text.without_paths(message).alias("debug"))

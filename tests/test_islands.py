@@ -84,6 +84,12 @@ def test_words_have_a_letter_digit_or_underscore(spark):
     assert one(text.cache_key(F.lit(" a b "), F.lit("nl"), F.lit("en"))) == one(text.cache_key(F.lit("a b"), F.lit("nl"), F.lit("en")))
 
 
+def test_paths_are_reduced_to_names(spark):
+    said = ["no  such file: /opt/models/asr.bin", "a/b/ ./c/. / //", r"C:\\x\\y plain", "", "../.. ok"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(text.without_paths(F.col("t"))).collect()]
+    assert got == ["no such file: asr.bin", "b c <path> <path>", r"C:\\x\\y plain", "", ".. ok"]
+
+
 def test_logs(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     fields = F.create_map(*[F.lit(x) for x in ("dutch", "geheim", "KEY", "v", "n", "1")])
