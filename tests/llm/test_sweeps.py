@@ -49,6 +49,13 @@ def test_url_sweep(spark, monkeypatch, per_cell):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    urls = ["http://a.net/de/", "http://example.net/de/7", "http://example.net/de/8", "http://a.com/en/7", "http://example.com/en/7", "http://a.org/es/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.op5_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {0: ("net/de/", "allow"), 1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: ("com/en/", "block"), 4: ("example.com/en/7", "allow"), 5: ("org/es/", "block")}
+
+
 def test_url_empty_sides(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     none = spark.createDataFrame([], RULES)
