@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from subtide.sources.reports import working_folder
 from subtide.streaming.fold import fold
 from subtide.streaming.machines import RequestBatches, Segmenter
 
@@ -62,12 +63,15 @@ def request_batches(rows: DataFrame, key: str, order: str, size: str, machine: R
     A block of consecutive requests tells for each place at which a batch may begin in it, one of the first
     ``most_requests``, where the first batch beyond it begins and how many begin within. These maps are chained in
     order, a row for each block, and every block then numbers its own batches. Rows without key or order are left
-    out; the order within a key has no ties; a null size counts as 0.
+    out; the order within a key has no ties; a null size counts as 0. The rows are written once with the partition
+    they were dealt to, in a working folder: a second run of the deal could cut the ranges elsewhere.
     """
     machine = machine or RequestBatches()
     most = machine.most_requests
     known = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("pair"), F.col(order).alias("seq"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
-    dealt = known.repartitionByRange("pair", "seq").sortWithinPartitions("pair", "seq").withColumn("part", F.spark_partition_id())
+    dealt, folder = known.repartitionByRange("pair", "seq").withColumn("part", F.spark_partition_id()), working_folder(rows.sparkSession)
+    dealt.write.parquet(folder)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(folder)
     local = dealt.withColumn("local", F.row_number().over(W.partitionBy("part", "pair").orderBy("seq")) - 1)
     counts = local.groupBy("pair", "part").agg(F.count("*").alias("n"))  # a row for each partition and key
     starts = counts.select("pair", "part", (F.sum("n").over(W.partitionBy("pair").orderBy("part")) - F.col("n")).alias("before"))

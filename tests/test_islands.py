@@ -44,6 +44,27 @@ def test_batches_block_by_block_are_those_of_the_sequence(spark, block):
     assert islands.request_batches(frame.limit(0), "pair", "seq", "n").count() == 0
 
 
+def test_batches_when_ranges_are_dealt_anew(spark):
+    """Many range partitions, whose bounds are sampled and which adaptive plans join by their size."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4kb", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rows = spark.range(0, 60_000, 1, 16).select((F.col("id") % 2).alias("pair"), F.xxhash64("id").alias("seq"), (F.col("id") * 7919 % 900).alias("n"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in islands.request_batches(rows, "pair", "seq", "n").select("pair", "seq", "batch", "n").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = set()
+    for pair in (0, 1):
+        machine = RequestBatches()
+        state = machine.start()
+        for seq, n in sorted((r.seq, r.n) for r in rows.where(F.col("pair") == pair).collect()):
+            want |= {(pair, *x) for x in machine.step(state, {"seq": seq, "n_chars": n})}
+    assert len(got) == 60_000 and got == want
+
+
 def test_order_statistics_equal_the_exact_percentiles(spark):
     rng = random.Random(9)
     rows = [("hot", rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e6), 7.5, 0.0, -0.0])) for _ in range(3000)] + [("one", 5.0), ("two", -1.0), ("two", None), ("none", None), (None, 3.0), (None, 4.0), ("same", 2.0), ("same", 2.0)]
