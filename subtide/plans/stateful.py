@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import text
 from subtide.operators import islands, transcripts
-from subtide.plans.registry import _MERGED, _MESSAGES, _t, messages_of, query, transcript_of
+from subtide.plans.registry import _MERGED, _MESSAGES, _SQL, _t, messages_of, query, transcript_of
 from subtide.sources.history import History
 from subtide.sources.reports import working_folder
 from subtide.streaming import keyed, live, machines
@@ -25,16 +25,20 @@ def chunks_of(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), at.alias("at_ms"), F.lit(3200).alias("n_samples"), (F.col("value") / 1000).alias("level"), (F.col("event_type") == "error").alias("asr_busy"))
 
 
-def streamed(rows: DataFrame, spark) -> DataFrame:
-    """What the stream appends until its input ends, as a table in the shared folder; each micro-batch replaces its own part, so a retried one adds nothing."""
+def streamed(rows: DataFrame, spark, mode: str = "append") -> DataFrame:
+    """What the stream gives until its input ends, as a table in the shared folder; each micro-batch replaces its own part, so a retried one adds nothing.
+
+    In the mode ``update`` the table has the number of the micro-batch as ``batch``.
+    """
     base = working_folder(spark)
 
     def write(frame: DataFrame, k: int) -> None:
         frame.write.mode("overwrite").parquet(f"{base}/table/batch={k}")
 
-    running = rows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    running = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
-    return spark.read.parquet(f"{base}/table").drop("batch")
+    table = spark.read.parquet(f"{base}/table")
+    return table if mode == "update" else table.drop("batch")
 
 
 def _stream(spark, d: str, name: str) -> DataFrame:
@@ -124,13 +128,15 @@ def str12_merged_segments(spark, d):
     return fold(rows, "client_id", ["seq"], machines.MergedSegments())
 
 
-@query("""SELECT user_id AS client_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events
-GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+@query(_SQL["str13_hourly_metrics"])
 def str13_metrics_stream(spark, d):
-    """Hours that the watermark, an hour behind, has passed: each is given once and then forgotten."""
-    rows = _stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
-    hourly = rows.groupBy(F.col("user_id").alias("client_id"), F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return streamed(hourly.select("client_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total"), spark)
+    """Every hour of the input. A micro-batch gives the hours that it changed, as they stand then; the last of each is its row."""
+    keyed.with_state_store(spark)
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour")
+    hourly = _stream(spark, d, "events").groupBy(F.col("user_id").alias("client_id"), hour).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    changes = streamed(hourly, spark, "update")
+    last = changes.groupBy("client_id", "hour").agg(F.max_by(F.struct("n", "total"), "batch").alias("m"))
+    return last.select("client_id", "hour", "m.n", F.round("m.total", 4).alias("total"))
 
 
 # Whole sessions. On their clock an hour of the events is a second.

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from subtide.functions import text
-from subtide.plans import records, registry
+from subtide.plans import records, registry, stateful
 
 
 def test_sentences_of_every_language(spark, tmp_path):
@@ -25,3 +25,11 @@ def test_evaluation_texts_of_every_script(spark, tmp_path):
     assert wer == {0: 0.25, 1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0}
     words = {r.item_id: r.words for r in records.mth5_word_distance(spark, str(tmp_path)).collect()}
     assert words == {0: 1, 1: 4, 2: 0, 3: 2, 4: 2}
+
+
+def test_metrics_stream_gives_the_last_hours_too(spark, tmp_path):
+    at = ["2024-01-01 00:10:00", "2024-01-01 00:50:00", "2024-01-01 05:00:00", "2024-01-01 05:59:59", "2023-12-31 01:00:00"]
+    rows = spark.createDataFrame([(i, t, i % 2, 1.25 * i) for i, t in enumerate(at)] + [(9, None, 1, 2.0)], "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = sorted(map(str, registry.str13_hourly_metrics(spark, str(tmp_path)).collect()))
+    assert len(whole) == 6 and sorted(map(str, stateful.str13_metrics_stream(spark, str(tmp_path)).collect())) == whole
