@@ -175,3 +175,29 @@ def test_cues_equal_a_greedy_loop(spark):
         want.append((client, line[0][3], max(r[4] for r in line), " ".join(r[2] for r in line)))
     got = cues.build(spark.createDataFrame(rows, "client_id long, pos long, word string, start_ms long, end_ms long")).select("client_id", "start_ms", "end_ms", "text")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_cues_are_those_of_the_machine_whatever_the_batches(spark, size):
+    """Words read in batches of any size, several clients and none, ends that go back, empty words; no plan sorts words twice."""
+    from subtide.operators import cues
+
+    rng, rows = random.Random(8), []
+    for client in (None, *range(5)):
+        at = 0
+        for pos in range(150):
+            word = "".join(rng.choice("aé😀") for _ in range(rng.choice([0, 1, 1, 4, 50]))) + rng.choice(["", "", ",", ";", "…", ":"])
+            rows.append((client, pos, word, at, at + rng.choice([100, 900, 9000])))
+            at += rng.choice([0, 100, 700])
+    words = spark.createDataFrame(rows, "client_id int, pos long, word string, start_ms long, end_ms long")
+    pieces = cues.islands(words).select(F.struct("client_id", "island").alias("piece"), "pos", "word", "start_ms", "end_ms")
+    want = fold(pieces, "piece", ["pos"], cues.CueBuilder()).select("piece.client_id", "piece.island", "cue", "start_ms", "end_ms", "text").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        built = cues.build(words)
+        assert sorted(map(str, built.collect())) == sorted(map(str, want)) and len(want) > 300
+        assert built._jdf.queryExecution().optimizedPlan().toString().count("Sort [") == 1 and "Window" not in built._jdf.queryExecution().optimizedPlan().toString()
+        assert cues.build(words.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
