@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,20 +94,36 @@ def ends_with_connector(text: Column, language: Column | None = None) -> Column:
     return waits if language is None else waits & F.coalesce(language == "nl", F.lit(False))
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` over the fields of one struct, each of them evaluated once however often the body, or a lambda in it, reads it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def overlap(left: Column, right: Column, most: int) -> Column:
-    """The longest k for which the last k words of ``left`` are the first k of ``right`` (lower-cased arrays)."""
-    ks = F.sequence(F.lit(0), F.least(F.size(left), F.size(right), F.lit(most)))
-    fits = F.filter(ks, lambda k: (k == 0) | (F.slice(left, F.size(left) - k + 1, F.greatest(k, F.lit(1))) == F.slice(right, F.lit(1), F.greatest(k, F.lit(1)))))
-    return F.array_max(fits)
+    """The longest k for which the last k words of ``left`` are the first k of ``right``, in lower case."""
+
+    def longest(x: Column) -> Column:
+        end, head = x["end"], x["head"]
+        ks = F.sequence(F.lit(0), F.least(F.size(end), F.size(head), F.lit(most)))
+        fits = F.filter(ks, lambda k: (k == 0) | (F.slice(end, F.size(end) - k + 1, F.greatest(k, F.lit(1))) == F.slice(head, F.lit(1), F.greatest(k, F.lit(1)))))
+        return F.array_max(fits)
+
+    end = F.slice(left, F.greatest(F.size(left) - (most - 1), F.lit(1)), most)
+    return _let(longest, end=F.transform(end, F.lower), head=F.transform(F.slice(right, 1, most), F.lower))
 
 
 def join_overlap(left: Column, right: Column, most: int = 8) -> Column:
     """Fragments joined without the words that both have at the seam."""
-    left, right = collapsed(left), collapsed(right)
-    a, b = F.split(left, " "), F.split(right, " ")
-    k = overlap(F.transform(a, F.lower), F.transform(b, F.lower), most)
-    rest = F.array_join(F.slice(b, k + 1, F.size(b)), " ")
-    return F.when(F.endswith(left, right), left).otherwise(F.trim(F.concat_ws(" ", left, rest)))
+
+    def joined(x: Column) -> Column:
+        rest = F.array_join(F.slice(x["b"], overlap(x["a"], x["b"], most) + 1, F.size(x["b"])), " ")
+        return F.trim(F.concat_ws(" ", x["left"], rest))
+
+    def seam(x: Column) -> Column:
+        left, right = x["left"], x["right"]
+        return F.when(F.endswith(left, right), left).otherwise(_let(joined, left=left, a=F.split(left, " "), b=F.split(right, " ")))
+
+    return _let(seam, left=collapsed(left), right=collapsed(right))
 
 
 def runs(text: Column) -> Column:
@@ -174,24 +191,34 @@ def without_paths(message: Column) -> Column:
 
 def merge_overlap(left: Column, right: Column, most: int = 10) -> Column:
     """Partials joined at a common seam of words, else the longer one."""
+
+    def merged(x: Column) -> Column:
+        a, b, k, left, right = (x[c] for c in ("a", "b", "k", "left", "right"))
+        return F.when(k > 0, F.array_join(F.concat(a, F.slice(b, k + 1, F.size(b))), " ")).when(F.length(right) > F.length(left), right).otherwise(left)
+
     a, b = (F.filter(F.split(x, r"\s+"), lambda w: w != "") for x in (left, right))
-    k = overlap(F.transform(a, F.lower), F.transform(b, F.lower), most)
-    return F.when(k > 0, F.array_join(F.concat(a, F.slice(b, k + 1, F.size(b))), " ")).when(F.length(right) > F.length(left), right).otherwise(left)
+    with_seam = lambda x: _let(merged, a=x["a"], b=x["b"], left=x["left"], right=x["right"], k=overlap(x["a"], x["b"], most))
+    return _let(with_seam, a=a, b=b, left=left, right=right)
 
 
 def stabilize(previous: Column, following: Column) -> Column:
     """The partial to show after ``following`` arrives."""
-    p, n = (F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")) for x in (previous, following))
-    low_p, low_n, size_p, size_n = F.lower(p), F.lower(n), F.length(p), F.length(n)
-    short = (size_n < size_p * 0.72) & ~F.right(p, F.lit(1)).isin(".", "?", "!")
-    merged = merge_overlap(p, n)
-    return (
-        F.when(n == "", p)
-        .when(p == "", n)
-        .when(low_n == low_p, p)
-        .when(F.startswith(low_n, low_p), n)
-        .when(F.contains(low_p, low_n) & (size_n + 10 < size_p), p)
-        .when(short, p)
-        .when(F.length(merged) >= F.greatest(size_p, size_n) - 4, merged)
-        .otherwise(n)
-    )
+
+    def shown(x: Column) -> Column:
+        p, n, low_p, low_n = (x[c] for c in ("p", "n", "low_p", "low_n"))
+        size_p, size_n = F.length(p), F.length(n)
+        short = (size_n < size_p * 0.72) & ~F.right(p, F.lit(1)).isin(".", "?", "!")
+        whole = _let(lambda y: F.when(F.length(y["merged"]) >= F.greatest(size_p, size_n) - 4, y["merged"]).otherwise(n), merged=merge_overlap(p, n))
+        return (
+            F.when(n == "", p)
+            .when(p == "", n)
+            .when(low_n == low_p, p)
+            .when(F.startswith(low_n, low_p), n)
+            .when(F.contains(low_p, low_n) & (size_n + 10 < size_p), p)
+            .when(short, p)
+            .otherwise(whole)
+        )
+
+    plain = (F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")) for x in (previous, following))
+    lowered = lambda x: _let(shown, p=x["p"], n=x["n"], low_p=F.lower(x["p"]), low_n=F.lower(x["n"]))
+    return _let(lowered, **dict(zip("pn", plain, strict=True)))

@@ -35,6 +35,16 @@ def test_predicates(spark):
     assert one(spark, text.should_drop(F.lit("Echt waar?"))) is False
 
 
+def test_texts_at_a_seam_are_split_once(spark):
+    """Lambdas evaluate what they hold for every element, so what they share is bound before."""
+    rows = spark.createDataFrame([("a b C", "c b"), ("x", None), (None, "x"), ("", ""), ("a " * 20, "a " * 30)], "p string, n string")
+    for function, want in ((text.join_overlap, ["a b C b", "x", "x", "", ("a " * 42).strip()]), (text.merge_overlap, ["a b C b", "x", None, "", ("a " * 40).strip()]), (text.stabilize, ["a b C", "x", "x", "", ("a " * 30).strip()])):
+        found = rows.select(function(F.col("p"), F.col("n")).alias("x"))
+        assert [r.x for r in found.collect()] == want
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(") == 2 and plan.count("regexp_replace(") <= 2
+
+
 def test_overlap_and_stabilize(spark):
     assert one(spark, text.join_overlap(F.lit("dit is een"), F.lit("een test"))) == "dit is een test"
     assert one(spark, text.merge_overlap(F.lit("dit is een"), F.lit("een test"))) == "dit is een test"
