@@ -341,3 +341,60 @@ def test_history_follows_a_stream(spark, tmp_path):
     assert len(store.commits()) == 3 and store.subtitles().count() == 1
     days = store.sessions().where("client_id = 7").first()
     assert store.sessions().count() == 4 and days.started_at != days.updated_at
+
+
+class _Calls:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.n, self.held, self.timers = 0, {}, []
+
+    def getMapState(self, *_):
+        return self
+
+    getListState = getMapState
+
+    def getValueState(self, *_):
+        return _Calls()
+
+    def exists(self):
+        return bool(self.held)
+
+    def containsKey(self, key):
+        self.n += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.n += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.n += 1
+        self.held[key] = value
+
+    def update(self, value):
+        self.held[0] = value
+
+    def appendList(self, values):
+        self.n += len(values)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_state_is_read_once_for_an_id_and_written_in_few_values():
+    from pyspark.sql import Row
+
+    message = {"kind": "pending", "id": 1, "at_ms": 0, "start_ms": None, "end_ms": None, "source_text": "s", "translation": None} | {c: None for c in transcripts.DEFAULTS}
+    calls, machine = _Calls(), keyed._Transcript(1_000_000)
+    machine.init(calls)
+    found = list(machine.handleInputRows((7,), iter([Row(**(message | {"seq": k, "id": k % 2, "at_ms": 1_000 * k})) for k in range(100)]), None))
+    assert len(found) == 199 and found[-1].id == 1 and found[-2].end_ms == 99_000 - 120 and calls.n <= 6
+    calls = _Calls()
+    waits = keyed._InOrder(live.SilenceWatch(), "at_ms", ["at_ms"], ["client_id", "at_ms", "event", "silent_ms"])
+    waits.init(calls)
+    list(waits.handleInputRows((7,), iter([Row(at_ms=k, level=0.5) for k in range(1_200)]), None))
+    assert calls.n == 3
